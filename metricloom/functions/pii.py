@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as a hit, by kind.
 PATTERNS = {
@@ -22,14 +23,14 @@ CONFIDENCE = 0.9
 
 def hits(text: Column) -> Column:
     """All hits in a text as ``array<struct<pii_type, value>>``."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda v, k=kind: F.struct(F.lit(k).alias("pii_type"), v.alias("value")),
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(
+            found, lambda v: F.struct(F.lit(kind).alias("pii_type"), v.alias("value"))
         )
-        for kind, pattern in PATTERNS.items()
-    ]
-    return F.concat(*found)
+
+    return F.concat(*[of_kind(kind, pattern) for kind, pattern in PATTERNS.items()])
 
 
 def preview(kind: Column, value: Column) -> Column:
@@ -55,6 +56,11 @@ def preview(kind: Column, value: Column) -> Column:
     )
 
 
+_STRINGS = T.ArrayType(
+    T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
+)
+
+
 def _strings(node: dict, path: str) -> Iterator[dict]:
     """String leaves below an object; lists are entered one level deep."""
     for key, child in node.items():
@@ -68,7 +74,7 @@ def _strings(node: dict, path: str) -> Iterator[dict]:
                 yield from _strings(item, place)
 
 
-@F.pandas_udf("array<struct<path:string,text:string>>")
+@F.pandas_udf(_STRINGS)
 def json_strings(documents: pd.Series) -> pd.Series:
     """Every string inside JSON objects with its path, such as ``a.b[2].c``.
 

@@ -28,18 +28,18 @@ def readings(telemetry: DataFrame, *keep: str) -> DataFrame:
     def entry(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.cast("double").alias("value"))
 
-    host = [entry(F.lit(f), F.col(f)) for f in HOST_FIELDS]
-    gpus = [
-        F.transform(
+    def of_gpus(name: str, field: str) -> Column:
+        none = F.array().cast("array<struct<key:string,value:double>>")
+        per_gpu = F.transform(
             "gpu_metrics",
-            lambda g, n=name, f=field: entry(
-                F.concat(F.lit("gpu"), g["index"].cast("string"), F.lit(f"_{n}")), g[f]
+            lambda g: entry(
+                F.concat(F.lit("gpu"), g["index"].cast("string"), F.lit(f"_{name}")), g[field]
             ),
         )
-        for name, field in GPU_FIELDS.items()
-    ]
-    every = F.concat(F.array(*host), *[F.coalesce(g, F.array().cast(
-        "array<struct<key:string,value:double>>")) for g in gpus])
+        return F.coalesce(per_gpu, none)
+
+    host = F.array(*[entry(F.lit(f), F.col(f)) for f in HOST_FIELDS])
+    every = F.concat(host, *[of_gpus(name, field) for name, field in GPU_FIELDS.items()])
     return telemetry.select("run_id", *keep, F.explode(every).alias("_r")).select(
         "run_id", *keep, "_r.key", "_r.value"
     )

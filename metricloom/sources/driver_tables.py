@@ -138,9 +138,13 @@ def votes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_events(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_from_events(table(spark, folder, "events"))
+
+
+def audit_from_events(events: DataFrame) -> DataFrame:
     """Audit records before hashing; one log per day."""
     ts = F.col("ts").cast("timestamp")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.date_format(ts, "yyyy-MM-dd").alias("log"),
         F.col("event_id").alias("line_no"),
         F.concat(F.lit("e"), F.col("event_id")).alias("id"),
