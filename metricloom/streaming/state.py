@@ -71,7 +71,7 @@ class _Chain(StatefulProcessor):
         # A segment is bounded, and so is its share of a micro-batch.
         part = pd.concat(list(rows)).sort_values("line_no")
         before, after = [], []
-        for content in part["_content"]:
+        for content in part["content"]:
             before.append(previous or None)
             previous = hashlib.sha256((content + previous).encode()).hexdigest()
             after.append(previous)
@@ -99,7 +99,7 @@ def chain_stream(events: DataFrame) -> DataFrame:
     fields = [F.coalesce(F.col(c), F.lit("")) for c in HASHED]
     content = F.concat(F.concat_ws(SEPARATOR, *fields), F.lit(SEPARATOR))
     return (
-        events.select("log", "segment", "line_no", content.alias("_content"))
+        events.select("log", "segment", "line_no", content.alias("content"))
         .groupBy("log", "segment")
         .transformWithStateInPandas(
             statefulProcessor=_Chain(),
