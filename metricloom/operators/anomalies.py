@@ -13,8 +13,8 @@ from metricloom.operators.ordered import (
     OrderedGroups,
     attach_groups,
     exact_quantiles,
-    profile_groups,
 )
+from metricloom.session import ensure_checkpoint_dir
 
 # Detector rules.
 MIN_SAMPLES = 30
@@ -30,6 +30,21 @@ DIVERGENCE_CONFIDENCE = 0.9
 EXPLODING_NORM = 10.0
 VANISHING_NORM = 1e-7
 
+# Anomaly types.
+TYPES = [
+    "loss_spike",
+    "loss_plateau",
+    "loss_divergence",
+    "loss_nan",
+    "gradient_explosion",
+    "gradient_vanishing",
+    "gradient_nan",
+    "learning_rate_issue",
+    "metric_discontinuity",
+    "unusual_pattern",
+    "performance_degradation",
+]
+
 # Texts by anomaly type.
 DESCRIPTIONS = {
     "loss_spike": "Sudden spike in %1$s to %2$.4f at step %3$d",
@@ -179,37 +194,43 @@ def finite_points(metrics: DataFrame) -> DataFrame:
     return metrics.select(*columns).where(X.is_finite(F.col("value")))
 
 
+def series_moments(metrics: DataFrame) -> tuple[DataFrame, GroupProfile]:
+    """Length, mean and population deviation of every series, and the series profile.
+
+    One narrow scan. The result has one row per series; it is checkpointed
+    because several detectors and the choice of plan read it.
+    """
+    ensure_checkpoint_dir(metrics.sparkSession)
+    finite = F.when(X.is_finite(F.col("value")), F.col("value"))
+    moments = (
+        metrics.where(F.col("value").isNotNull())
+        .groupBy(*SERIES)
+        .agg(
+            F.count(F.lit(1)).alias("points"),
+            F.count(finite).alias("finite"),
+            F.avg(finite).alias("mean"),
+            F.stddev_pop(finite).alias("std"),
+        )
+        .checkpoint()
+    )
+    row = moments.agg(F.count(F.lit(1)).alias("groups"), F.max("points").alias("largest")).first()
+    return moments, GroupProfile(row["groups"], row["largest"] or 0)
+
+
 def series_bounds(
     points: DataFrame,
+    moments: DataFrame,
     sensitivity: float,
     min_samples: int,
     profile: GroupProfile,
     hot_rows: int,
 ) -> DataFrame:
-    """Mean, population deviation and inter-quartile limits of every long enough series."""
-    moments = points.groupBy(*SERIES).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-    )
-    if profile.is_hot(hot_rows):
-        quarters = exact_quantiles(
-            points, SERIES, "value", {"q1": 0.25, "q3": 0.75}, profile, hot_rows
-        )
-        stats = moments.join(quarters, SERIES)
-    else:
-        ps = F.array(F.lit(0.25), F.lit(0.75))
-        stats = points.groupBy(*SERIES).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.avg("value").alias("mean"),
-            F.stddev_pop("value").alias("std"),
-            F.percentile("value", ps).alias("_q"),
-        ).select(
-            *SERIES, "_n", "mean", "std", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")
-        )
+    """Z-score and inter-quartile limits of every long enough series."""
+    quarters = exact_quantiles(points, SERIES, "value", {"q1": 0.25, "q3": 0.75}, profile, hot_rows)
+    long = moments.where(F.col("finite") >= min_samples).select(*SERIES, "mean", "std")
     z, m = z_threshold(sensitivity), iqr_multiplier(sensitivity)
     iqr = F.col("q3") - F.col("q1")
-    return stats.where(F.col("_n") >= min_samples).select(
+    return attach_groups(quarters, long, SERIES, profile.groups).select(
         *SERIES,
         "mean",
         "std",
@@ -224,7 +245,7 @@ def outliers(
     metrics: DataFrame,
     sensitivity: float = 0.8,
     min_samples: int = MIN_SAMPLES,
-    profile: GroupProfile | None = None,
+    measured: tuple[DataFrame, GroupProfile] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Z-score outliers (detector 0) and, beyond them, inter-quartile outliers (detector 1).
@@ -233,8 +254,8 @@ def outliers(
     mean of the preceding rows needs an ordered frame.
     """
     points = finite_points(metrics)
-    profile = profile or profile_groups(points, SERIES)
-    bounds = series_bounds(points, sensitivity, min_samples, profile, hot_rows)
+    moments, profile = measured or series_moments(metrics)
+    bounds = series_bounds(points, moments, sensitivity, min_samples, profile, hot_rows)
     recent = ordered_series(points, profile, hot_rows).frames(
         RECENT_ROWS + 1,
         0,
@@ -267,16 +288,16 @@ def outliers(
 
 
 def nonfinite(
-    metrics: DataFrame, min_samples: int = MIN_SAMPLES, profile: GroupProfile | None = None
+    metrics: DataFrame,
+    min_samples: int = MIN_SAMPLES,
+    measured: tuple[DataFrame, GroupProfile] | None = None,
 ) -> DataFrame:
     """NaN and infinite points of series that are long enough (detector 2)."""
-    known = metrics.where(F.col("value").isNotNull())
-    long = known.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") >= min_samples
-    )
-    bad = known.where(~X.is_finite(F.col("value")))
-    groups = profile.groups if profile else None
-    hits = attach_groups(bad, long.select(*SERIES), SERIES, groups, "left_semi")
+    moments, profile = measured or series_moments(metrics)
+    value = F.col("value")
+    bad = metrics.where(value.isNotNull() & ~X.is_finite(value))
+    long = moments.where(F.col("points") >= min_samples).select(*SERIES)
+    hits = attach_groups(bad, long, SERIES, profile.groups, "left_semi")
     name = F.col("name")
     zero = F.lit(0.0)
     shown = hits.withColumn("value", F.when(F.isnan("value"), 0.0).otherwise(F.col("value")))
@@ -429,19 +450,19 @@ def detect_anomalies(
     metrics: DataFrame,
     sensitivity: float = 0.8,
     min_samples: int = MIN_SAMPLES,
-    profile: GroupProfile | None = None,
+    measured: tuple[DataFrame, GroupProfile] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All detectors over all series, without repeats (unordered).
 
-    The series profile is measured once; plateau and divergence share one
+    The series are measured once (:func:`series_moments`); plateau and divergence share one
     numbered frame.
     """
-    profile = profile or profile_groups(metrics, SERIES)
-    losses = ordered_series(loss_points(metrics), profile, hot_rows).index()
+    measured = measured or series_moments(metrics)
+    losses = ordered_series(loss_points(metrics), measured[1], hot_rows).index()
     found = (
-        outliers(metrics, sensitivity, min_samples, profile, hot_rows)
-        .unionByName(nonfinite(metrics, min_samples, profile))
+        outliers(metrics, sensitivity, min_samples, measured, hot_rows)
+        .unionByName(nonfinite(metrics, min_samples, measured))
         .unionByName(_plateau_rows(_first_plateau(losses, min_samples)))
         .unionByName(_divergence_rows(_first_divergence(losses, min_samples)))
     )
@@ -455,18 +476,8 @@ def sort_anomalies(anomalies: DataFrame) -> DataFrame:
 def anomaly_summary(anomalies: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Status, counts by severity and type, and the top anomaly of each run.
 
-    With ``runs`` given, runs without anomalies are reported as healthy.
+    One aggregate over the anomalies. With ``runs`` given, runs without anomalies are reported as healthy.
     """
-    by_type = (
-        anomalies.groupBy("run_id", "anomaly_type")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy("run_id")
-        .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("anomaly_type", "_c")))).alias(
-                "by_type"
-            )
-        )
-    )
     top = F.struct(
         X.severity_rank(F.col("severity")).alias("s"),
         (-F.col("confidence")).alias("c"),
@@ -475,13 +486,22 @@ def anomaly_summary(anomalies: DataFrame, runs: DataFrame | None = None) -> Data
         F.col("step").alias("t"),
     )
     shown = F.struct("id", "metric_name", "step", "value", "anomaly_type", "severity", "confidence")
+    by_type = []
+    for kind in TYPES:
+        by_type += [F.lit(kind), F.count_if(F.col("anomaly_type") == kind)]
     counts = anomalies.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("anomaly_count"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in ("info", "warning", "critical")],
+        F.create_map(*by_type).alias("by_type"),
         F.min_by(shown, top).alias("most_recent"),
     )
     status = F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning")
-    out = counts.join(by_type, "run_id").withColumn("status", status.otherwise("info"))
+    out = counts.withColumns(
+        {
+            "status": status.otherwise("info"),
+            "by_type": F.map_filter("by_type", lambda kind, count: count > 0),
+        }
+    )
     if runs is None:
         return out
     every = runs.select(F.col("id").alias("run_id"))

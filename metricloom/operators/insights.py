@@ -12,6 +12,7 @@ from metricloom.operators.anomalies import detect_anomalies, rank_order
 from metricloom.operators.metrics import SERIES, first_names, series_order, series_statistics
 from metricloom.operators.ordered import HOT_ROWS, GroupProfile, OrderedGroups
 from metricloom.operators.runs import active_only, newest_first
+from metricloom.session import ensure_checkpoint_dir
 
 # What each anomaly type turns into. Types without an entry give no insight.
 # type -> (category, title, summary, recommendations or None for those of the anomaly,
@@ -353,7 +354,10 @@ def analyse_runs(
     if max_names is not None:
         keep = first_names(active, max_names).select(*SERIES)
         active = active.join(keep, SERIES, "left_semi")
-    anomalies = detect_anomalies(active, sensitivity, hot_rows=hot_rows)
+    # Anomalies are few beside the points they come from; storing them once saves
+    # every later step from running the detectors again.
+    ensure_checkpoint_dir(metrics.sparkSession)
+    anomalies = detect_anomalies(active, sensitivity, hot_rows=hot_rows).checkpoint()
     return anomalies, insights_from_anomalies(anomalies, hot_rows)
 
 

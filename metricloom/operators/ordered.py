@@ -161,7 +161,11 @@ class OrderedGroups:
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_skip"),
             F.sum("_rows").over(w).alias("n"),
         )
-        df = self.df.join(pieces, [*self.keys, "_part"])
+        # At most one row per group and one more per partition boundary.
+        partitions = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = attach_groups(
+            self.df, pieces, [*self.keys, "_part"], self.profile.groups + partitions
+        )
         df = df.withColumn("idx", F.col("_skip") + offset - F.col("_first"))
         return self._with(df.drop("_first", "_skip"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from metricloom.functions import expressions as X
 from metricloom.functions import vectors as V
-from metricloom.operators.ordered import attach_groups
+from metricloom.operators.ordered import GroupProfile, attach_groups, profile_groups
 
 
 # -- histograms --------------------------------------------------------------
@@ -153,9 +153,11 @@ def gradient_norms(elements: DataFrame, param: str, by: Sequence[str] = ()) -> D
 def layer_rows(stats: DataFrame, param: str, by: Sequence[str] = (), first: int | None = 20) -> DataFrame:
     """Per-layer norm and mean as metric rows, for the first layers or for all."""
     rows = stats
-    if first is not None:
-        w = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(1)]).orderBy(param)
+    if first is not None and by:
+        w = Window.partitionBy(*by).orderBy(param)
         rows = rows.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= first)
+    elif first is not None:
+        rows = rows.orderBy(param).limit(first)
     entries = F.array(
         *[
             F.struct(
@@ -297,22 +299,74 @@ def first_positions(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def similarity_summary(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Groups up to this many positions are handled whole by one task.
+WHOLE_POSITIONS = 5_000
+
+
+def _moments(u: np.ndarray) -> tuple[float, float, float, float]:
+    """Sums over all pairs of rows (similarity and its square) and over the diagonal."""
+    total = u.sum(axis=0)
+    gram = u @ u.T if len(u) <= u.shape[1] else u.T @ u
+    sq = (u * u).sum(axis=1)
+    return float(total @ total), float((gram * gram).sum()), float(sq.sum()), float((sq * sq).sum())
+
+
+def similarity_summary(
+    states: DataFrame,
+    keys: Sequence[str],
+    profile: GroupProfile | None = None,
+    whole_positions: int = WHOLE_POSITIONS,
+) -> DataFrame:
     """Mean and population deviation of the off-diagonal cosine similarities.
 
-    No pair is formed. With unit-scaled vectors ``u``, the sum of all
+    No pair leaves a task. With unit-scaled vectors ``u``, the sum of all
     similarities of a group is ``|sum u|^2`` and the sum of their squares is the
-    squared Frobenius norm of ``G = sum u u^T``; both sums only need per-dimension
-    totals, which add up across batches and partitions. The diagonal is taken off
-    through ``sum |u|^2`` and ``sum |u|^4``. Cost grows linearly with positions.
+    squared Frobenius norm of ``U U^T``, which equals that of ``U^T U``; the
+    diagonal is taken off through ``sum |u|^2`` and ``sum |u|^4``. Groups of
+    bounded length give these four numbers in one step. Beyond that,
+    ``U^T U`` adds up across batches and partitions, so cost grows linearly with
+    positions however long a group is.
     """
     keys = list(keys)
-    units = states.select(*keys, V.unit(F.col("vec")).alias("u"))
-    packed = units.select(F.struct(*keys).alias("g"), "u")
-    key_type = packed.schema["g"].dataType
+    units = states.select(F.struct(*keys).alias("g"), V.unit(F.col("vec")).alias("u"))
+    profile = profile or profile_groups(states, keys)
+    if profile.largest <= whole_positions:
+        sums = _sums_of_groups(units)
+    else:
+        sums = _sums_of_batches(units)
+    pairs = F.col("n") * (F.col("n") - 1)
+    mean = F.try_divide(F.col("all1") - F.col("diag1"), pairs)
+    square = F.try_divide(F.col("all2") - F.col("diag2"), pairs)
+    return sums.select(
+        *[F.col(f"g.{k}").alias(k) for k in keys],
+        F.col("n").alias("positions"),
+        mean.alias("similarity_mean"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("similarity_std"),
+    )
+
+
+def _sums_of_groups(units: DataFrame) -> DataFrame:
+    """The four sums of groups that fit a task."""
+    schema = T.StructType(
+        [units.schema["g"], T.StructField("n", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("all1", "all2", "diag1", "diag2")]
+    )
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        u = np.stack(part["u"].to_numpy())
+        a1, a2, d1, d2 = _moments(u)
+        return pd.DataFrame(
+            {"g": [part["g"].iloc[0]], "n": [len(u)], "all1": [a1], "all2": [a2], "diag1": [d1], "diag2": [d2]}
+        )
+
+    return units.groupBy("g").applyInPandas(sums, schema)
+
+
+def _sums_of_batches(units: DataFrame) -> DataFrame:
+    """The four sums of groups of any length, from per-batch partial sums."""
     schema = T.StructType(
         [
-            T.StructField("g", key_type),
+            units.schema["g"],
             T.StructField("i", T.IntegerType()),
             T.StructField("n", T.LongType()),
             T.StructField("s", T.DoubleType()),
@@ -324,10 +378,9 @@ def similarity_summary(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            group_ids = batch["g"].map(lambda g: tuple(g.values()) if isinstance(g, dict) else tuple(g))
-            for _, part in batch.groupby(group_ids, sort=False):
+            ids = batch["g"].map(lambda g: tuple(g.values()) if isinstance(g, dict) else tuple(g))
+            for _, part in batch.groupby(ids, sort=False):
                 u = np.stack(part["u"].to_numpy())
-                gram = u.T @ u
                 sq = (u * u).sum(axis=1)
                 dims = u.shape[1]
                 first = np.zeros(dims)
@@ -340,35 +393,21 @@ def similarity_summary(states: DataFrame, keys: Sequence[str]) -> DataFrame:
                         "s": u.sum(axis=0),
                         "d2": first * sq.sum(),
                         "d4": first * (sq * sq).sum(),
-                        "row": list(gram),
+                        "row": list(u.T @ u),
                     }
                 )
 
-    partials = packed.mapInPandas(partial, schema)
-    flat = partials.select(
+    flat = units.mapInPandas(partial, schema).select(
         "g", "i", "n", "s", "d2", "d4", F.posexplode("row").alias("j", "gij")
-    ).withColumn("_first", F.col("j") == 0)
-    once = lambda c: F.sum(F.when(F.col("_first"), F.col(c)))
+    )
+    once = lambda c: F.sum(F.when(F.col("j") == 0, F.col(c)))
     cells = flat.groupBy("g", "i", "j").agg(
-        F.sum("gij").alias("gij"),
-        once("n").alias("n"),
-        once("s").alias("s"),
-        once("d2").alias("d2"),
-        once("d4").alias("d4"),
+        F.sum("gij").alias("gij"), *[once(c).alias(c) for c in ("n", "s", "d2", "d4")]
     )
-    sums = cells.groupBy("g").agg(
+    return cells.groupBy("g").agg(
         F.sum("n").alias("n"),
-        F.sum(F.col("s") * F.col("s")).alias("_s"),
-        F.sum(F.col("gij") * F.col("gij")).alias("_f"),
-        F.sum("d2").alias("_d2"),
-        F.sum("d4").alias("_d4"),
-    )
-    pairs = F.col("n") * (F.col("n") - 1)
-    mean = F.try_divide(F.col("_s") - F.col("_d2"), pairs)
-    square = F.try_divide(F.col("_f") - F.col("_d4"), pairs)
-    return sums.select(
-        *[F.col(f"g.{k}").alias(k) for k in keys],
-        F.col("n").alias("positions"),
-        mean.alias("similarity_mean"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("similarity_std"),
+        F.sum(F.col("s") * F.col("s")).alias("all1"),
+        F.sum(F.col("gij") * F.col("gij")).alias("all2"),
+        F.sum("d2").alias("diag1"),
+        F.sum("d4").alias("diag2"),
     )

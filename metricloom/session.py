@@ -33,6 +33,20 @@ def build_session(
     return builder.getOrCreate()
 
 
+def sized_for(input_bytes: int, partition_bytes: int = 128 * 1024**2) -> dict[str, str]:
+    """Settings for a job over this much input.
+
+    Shuffles start with one partition per ``partition_bytes``; AQE merges the ones
+    that turn out small. Scans read splits of the same size.
+    """
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings results depend on (UTC, last map key wins)."""
     for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
