@@ -24,6 +24,12 @@ def fixed(value: Column, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits}f", value)
 
 
+def formatted(pattern: str, value: Column | str) -> Column:
+    """A formatted value, null when the value is null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(value.isNotNull(), F.format_string(pattern, value))
+
+
 def short_number(value: Column) -> Column:
     """Scientific form outside 0.001..10000, else four decimals.
 

@@ -21,14 +21,44 @@ PATTERNS = {
 CONFIDENCE = 0.9
 
 
+_HIT = "array<struct<pii_type:string,value:string>>"
+
+
+def _needs(text: Column) -> dict[str, Column]:
+    """What a text must hold for a pattern to match at all; cheap to test."""
+    four_digits = text.rlike("[0-9]{4}")
+    return {
+        "email": text.contains("@"),
+        "phone": four_digits,
+        "ssn": four_digits,
+        "credit_card": four_digits,
+        "ip_address": text.rlike("[0-9][.][0-9]"),
+    }
+
+
+def may_hit(text: Column) -> Column:
+    """False only for texts (plain or as JSON) without any hit.
+
+    In JSON a character may be written as an escape, so escapes count as well.
+    """
+    return (
+        text.contains("@")
+        | text.rlike("[0-9]{4}")
+        | text.rlike("[0-9][.][0-9]")
+        | text.contains("\\u")
+    )
+
+
 def hits(text: Column) -> Column:
     """All hits in a text as ``array<struct<pii_type, value>>``."""
+    needs = _needs(text)
 
     def of_kind(kind: str, pattern: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return F.transform(
+        pairs = F.transform(
             found, lambda v: F.struct(F.lit(kind).alias("pii_type"), v.alias("value"))
         )
+        return F.when(needs[kind], pairs).otherwise(F.array().cast(_HIT))
 
     return F.concat(*[of_kind(kind, pattern) for kind, pattern in PATTERNS.items()])
 

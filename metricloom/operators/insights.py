@@ -480,22 +480,20 @@ def training_summary(figures: DataFrame, anomalies: DataFrame) -> DataFrame:
             ),
         )
     )
-    number = lambda pattern, c: F.coalesce(F.format_string(pattern, c), F.lit("n/a"))
+    number = lambda pattern, c: F.coalesce(X.formatted(pattern, c), F.lit("n/a"))
     detail = F.concat(
         F.lit("\n## Training Progress Summary\n\n**Steps Completed:** "),
         F.format_string("%,d", "total_steps"),
         F.lit("\n**Time Elapsed:** "),
         F.format_string("%.1f hours", F.col("elapsed_seconds") / 3600),
         F.lit("\n**Throughput:** "),
-        F.when(F.col("throughput").isNull(), "n/a").otherwise(
-            F.format_string("%.1f samples/sec", "throughput")
-        ),
+        number("%.1f samples/sec", "throughput"),
         F.lit("\n\n### Loss Analysis\n- Current Loss: "),
         number("%.4f", "loss_current"),
         F.lit("\n- Best Loss: "),
         number("%.4f", "loss_best"),
         F.lit("\n- Loss Reduction: "),
-        F.coalesce(F.format_string("%.1f%%", reduction * 100), F.lit("n/a")),
+        number("%.1f%%", reduction * 100),
         F.lit("\n- Trend: "),
         F.when(F.col("loss_trend") < 0, "Decreasing").otherwise("Increasing/Stable"),
         F.lit("\n\n### Resource Utilization\n- GPU Utilization: "),
@@ -576,7 +574,7 @@ def compare_pairs(metrics: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         gain.alias("improvement"),
         F.concat(
             F.lit("Run "), letter, F.lit(" achieved "),
-            F.coalesce(F.format_string("%.1f", gain), F.lit("0.0")), F.lit(f"% better {name}"),
+            F.coalesce(X.formatted("%.1f", gain), F.lit("0.0")), F.lit(f"% better {name}"),
         ).alias("summary"),
         table.alias("detailed_analysis"),
         F.concat(
@@ -814,7 +812,7 @@ def run_report(
             *[
                 F.concat(
                     F.lit(f"- {label}: "),
-                    F.coalesce(F.format_string("%.4f\n", c), F.lit("undefined\n")),
+                    F.coalesce(X.formatted("%.4f\n", c), F.lit("undefined\n")),
                 )
                 for label, c in (("Min", "min"), ("Max", "max"), ("Mean", "mean"), ("Std", "std"))
             ],

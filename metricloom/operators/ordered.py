@@ -75,6 +75,17 @@ def attach_groups(
     return df.join(per_group, list(keys), how)
 
 
+def settle(per_group: DataFrame) -> tuple[DataFrame, int]:
+    """Compute a one-row-per-group table once and count it.
+
+    The count decides how :func:`attach_groups` joins it; the checkpoint keeps
+    the aggregate behind it from running again.
+    """
+    ensure_checkpoint_dir(per_group.sparkSession)
+    stored = per_group.checkpoint()
+    return stored, stored.count()
+
+
 class OrderedGroups:
     """A frame whose rows are ordered within groups; see the module text."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from metricloom.functions import expressions as X
 from metricloom.functions import vectors as V
-from metricloom.operators.ordered import GroupProfile, attach_groups, profile_groups
+from metricloom.operators.ordered import GroupProfile, attach_groups, profile_groups, settle
 
 
 # -- histograms --------------------------------------------------------------
@@ -38,14 +38,15 @@ def histogram(
     keys: Sequence[str],
     value: str = "value",
     bins: int = 64,
-    groups: int | None = None,
+    measured: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """Equal-width bin counts per group, the right-most bin closed; empty bins are kept out.
 
-    Rows of the result: keys, bin, lower edge, upper edge, count.
+    Rows of the result: keys, bin, lower edge, upper edge, count. The ranges are
+    settled first, so that with few groups the values are binned without a shuffle.
     """
-    bounds = histogram_bounds(values, keys, value).select(*keys, "low", "high")
-    placed = attach_groups(values, bounds, keys, groups)
+    bounds, groups = measured or settle(histogram_bounds(values, keys, value))
+    placed = attach_groups(values, bounds.select(*keys, "low", "high"), keys, groups)
     width = (F.col("high") - F.col("low")) / bins
     bin_no = F.least(
         F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins),
@@ -67,14 +68,13 @@ def histogram_metric(
     keys: Sequence[str],
     value: str = "value",
     bins: int = 64,
-    groups: int | None = None,
 ) -> DataFrame:
     """Histogram as a metric row: mean as value, counts and edges as JSON metadata.
 
     At most ``bins`` counts are gathered per group.
     """
-    bounds = histogram_bounds(values, keys, value)
-    counts = histogram(values, keys, value, bins, groups)
+    bounds, groups = settle(histogram_bounds(values, keys, value))
+    counts = histogram(values, keys, value, bins, (bounds, groups))
     filled = counts.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m")
     )
@@ -215,10 +215,12 @@ def matrix_statistics(elements: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def min_max_normalise(
-    elements: DataFrame, keys: Sequence[str], eps: float = V.NORM_EPS, groups: int | None = None
+    elements: DataFrame, keys: Sequence[str], eps: float = V.NORM_EPS
 ) -> DataFrame:
     """Elements scaled to 0..1 within their tensor."""
-    bounds = elements.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    bounds, groups = settle(
+        elements.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    )
     out = attach_groups(elements, bounds, keys, groups)
     scaled = V.min_max(F.col("value"), F.col("_lo"), F.col("_hi"), eps)
     return out.withColumn("scaled", scaled).drop("_lo", "_hi")

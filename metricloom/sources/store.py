@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom import model
 from metricloom.operators.ordered import GroupProfile, profile_groups
@@ -60,7 +61,7 @@ def read_metrics(
     """
     schema = model.METRICS
     if bucketed:
-        schema = schema.add("run_bucket", "int")
+        schema = T.StructType([*schema.fields, T.StructField("run_bucket", T.IntegerType())])
     df = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
     if run_ids is not None:
         if bucketed:
