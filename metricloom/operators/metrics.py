@@ -6,7 +6,7 @@ timestamp and then the value break the tie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from metricloom.functions import expressions as X
 from metricloom.operators.ordered import (
     HOT_ROWS,
+    QUANTILE_ROWS,
     GroupProfile,
     OrderedGroups,
     exact_quantiles,
@@ -108,7 +109,7 @@ def series_statistics(
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
     ]
-    if not profile.is_hot(hot_rows):
+    if not profile.is_hot(min(hot_rows, QUANTILE_ROWS)):
         return metrics.groupBy(*SERIES).agg(*basics, F.percentile("value", 0.5).alias("median"))
     medians = exact_quantiles(metrics, SERIES, "value", {"median": 0.5}, profile, hot_rows)
     return metrics.groupBy(*SERIES).agg(*basics).join(medians, SERIES, "left")

@@ -32,6 +32,9 @@ from metricloom.session import ensure_checkpoint_dir
 
 #: A group up to this many rows is sorted inside one task.
 HOT_ROWS = 5_000_000
+#: ``percentile`` keeps the values of a group in memory, and of many groups at a
+#: time; groups beyond this many rows are ranked by (spilling) windows instead.
+QUANTILE_ROWS = 200_000
 #: Per-group tables up to this many rows are broadcast (a few tens of MB).
 BROADCAST_GROUPS = 200_000
 #: Rows of one index block when row frames run on a split group.
@@ -230,12 +233,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Groups that fit a task use the built-in ``percentile``. Larger ones are first
-    reduced to (value, count) pairs, spread by value, and each quantile is read
-    from the one or two pairs its rank falls into. Null values are ignored.
+    Small groups use the built-in ``percentile``. Larger ones are first reduced to
+    (value, count) pairs, ordered by value (spread over tasks if need be), and each
+    quantile is read from the one or two pairs its rank falls into. Null values
+    are ignored.
     """
     profile = profile or profile_groups(df, keys)
-    if not profile.is_hot(hot_rows):
+    if not profile.is_hot(min(hot_rows, QUANTILE_ROWS)):
         ps = F.array(*[F.lit(p) for p in probs.values()])
         out = df.groupBy(*keys).agg(F.percentile(value, ps).alias("_q"))
         return out.select(

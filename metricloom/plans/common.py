@@ -73,7 +73,7 @@ CTES = {
         o_orderpriority AS priority, o_orderdate AS created_at,
         CASE WHEN o_orderstatus <> 'O' THEN 86400.0 END AS duration_seconds FROM orders""",
     "run_tags": "SELECT CAST(l_orderkey AS VARCHAR) AS run_id, l_returnflag AS tag FROM lineitem",
-    "artifacts": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+    "artifacts": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS id,
         CAST(l_orderkey AS VARCHAR) AS run_id, p_brand AS name,
         CASE WHEN l_linestatus = 'O' THEN 'checkpoint' ELSE 'tensor' END AS artifact_type,
         CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes, l_linenumber AS step,

@@ -88,7 +88,8 @@ def run_tags(spark: SparkSession, folder: str) -> DataFrame:
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     parts = table(spark, folder, "part").select("p_partkey", "p_brand")
-    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    day = F.date_format("l_shipdate", "yyyyMMdd")
+    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day)
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         ident.alias("id"),
         F.col("l_orderkey").cast("string").alias("run_id"),
