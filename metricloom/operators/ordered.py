@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from metricloom.session import ensure_checkpoint_dir
 
-#: A group up to this many rows is sorted inside one task.
-HOT_ROWS = 5_000_000
+#: A group up to this many rows is handled inside one task. Every window operator
+#: buffers a whole group, and some operators stack several.
+HOT_ROWS = 1_000_000
 #: ``percentile`` keeps the values of a group in memory, and of many groups at a
 #: time; groups beyond this many rows are ranked by (spilling) windows instead.
 QUANTILE_ROWS = 200_000
@@ -223,6 +224,12 @@ class OrderedGroups:
         return self.df.drop("_pos", "_part")
 
 
+#: Accuracy of the sketch that brackets the quantiles of long groups, and how many
+#: of its error bounds a bracket extends to either side.
+SKETCH_ACCURACY = 10_000
+SKETCH_MARGIN = 10
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -233,10 +240,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Small groups use the built-in ``percentile``. Larger ones are first reduced to
-    (value, count) pairs, ordered by value (spread over tasks if need be), and each
-    quantile is read from the one or two pairs its rank falls into. Null values
-    are ignored.
+    Small groups use the built-in ``percentile``. For larger ones a sketch first
+    brackets each quantile. A second pass counts the rows between the brackets
+    and keeps, as (value, count) pairs, only what lies inside them; the pairs are
+    ranked in order, spread over tasks if they are still many, and each quantile
+    is read from the one or two pairs its rank falls into. Null values are ignored.
     """
     profile = profile or profile_groups(df, keys)
     if not profile.is_hot(min(hot_rows, QUANTILE_ROWS)):
@@ -246,22 +254,42 @@ def exact_quantiles(
             *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
         )
 
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    margin = SKETCH_MARGIN / SKETCH_ACCURACY
+    ends = [e for p in probs.values() for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch, groups = settle(
+        known.groupBy(*keys).agg(
+            F.percentile_approx("_v", [float(e) for e in ends], SKETCH_ACCURACY).alias("_ends")
+        )
+    )
+    v = F.col("_v")
+    inside, cell = F.lit(False), F.lit(0)
+    for i in range(0, len(ends), 2):
+        low, high = F.col("_ends")[i], F.col("_ends")[i + 1]
+        inside = inside | ((v >= low) & (v <= high))
+        cell = cell + (v > low).cast("int") + (v > high).cast("int")
     pairs = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
+        attach_groups(known, sketch, keys, groups)
+        # Cells count the bracket ends below a value, so (cell, value) sorts like the
+        # value; rows outside all brackets share one null-valued row per cell.
+        .select(*keys, cell.alias("_cell"), F.when(inside, v).alias("_value"))
+        .groupBy(*keys, "_cell", "_value")
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    ranked = OrderedGroups(pairs, keys, ["_value"], hot_rows=hot_rows)
+    ranked = OrderedGroups(pairs, keys, ["_cell", "_value"], hot_rows=hot_rows)
     ranked = ranked.running("_skip", "sum", F.col("_w")).attach(_total=F.sum("_w"))
     skip = F.coalesce(F.col("_skip"), F.lit(0))
+    found = F.when(
+        F.col("_value").isNull(), F.raise_error(F.lit("quantile outside of its bracket"))
+    ).otherwise(F.col("_value"))
     columns, wanted = [], F.lit(False)
     for name, p in probs.items():
         rank = F.lit(p) * (F.col("_total") - 1)
         low, high = F.floor(rank), F.ceil(rank)
         has = lambda r: (skip <= r) & (r < skip + F.col("_w"))
         wanted = wanted | has(low) | has(high)
-        v_low = F.max(F.when(has(low), F.col("_value")))
-        v_high = F.max(F.when(has(high), F.col("_value")))
+        v_low = F.max(F.when(has(low), found))
+        v_high = F.max(F.when(has(high), found))
         share = F.max(rank - low)
         columns.append((v_low + (v_high - v_low) * share).alias(name))
     return ranked.result().where(wanted).groupBy(*keys).agg(*columns)

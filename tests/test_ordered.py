@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -77,9 +78,17 @@ def test_frames_need_room(skewed):
 @pytest.mark.parametrize("hot_rows", [5, 10**9])
 def test_quantiles_match_numpy(spark, hot_rows):
     rng = np.random.default_rng(3)
-    groups = {"a": rng.exponential(5, 301), "b": np.repeat([1.0, 2.0], 50), "c": np.array([4.0])}
+    groups = {
+        "a": rng.exponential(5, 301),
+        "b": np.repeat([1.0, 2.0], 50),
+        "c": np.array([4.0]),
+        "d": rng.normal(0, 1, 30_000),
+        "e": rng.integers(0, 3, 20_000).astype(float),
+        "f": np.concatenate([rng.normal(0, 1e-6, 10_000), [1e12, -1e12]]),
+    }
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)]
-    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    frame = pd.DataFrame(rows, columns=["g", "v"]).astype({"v": "float64"})
+    df = spark.createDataFrame(frame).select("g", F.nanvl("v", F.lit(None)).alias("v")).repartition(5)
     probs = {"q1": 0.25, "median": 0.5, "q9": 0.9}
     out = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, hot_rows=hot_rows).collect()}
     for g, vs in groups.items():
