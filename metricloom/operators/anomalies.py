@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions import expressions as X
@@ -194,11 +196,23 @@ def finite_points(metrics: DataFrame) -> DataFrame:
     return metrics.select(*columns).where(X.is_finite(F.col("value")))
 
 
-def series_moments(metrics: DataFrame) -> tuple[DataFrame, GroupProfile]:
-    """Length, mean and population deviation of every series, and the series profile.
+@dataclass(frozen=True)
+class Measure:
+    """What the detectors know about the series before they look at points.
+
+    ``moments`` has one row per series: points, finite, mean, std (population).
+    """
+
+    moments: DataFrame
+    profile: GroupProfile
+    all_finite: bool
+
+
+def measure_series(metrics: DataFrame) -> Measure:
+    """Length, mean and deviation of every series in one narrow scan.
 
-    One narrow scan. The result has one row per series; it is checkpointed
-    because several detectors and the choice of plan read it.
+    The per-series table is checkpointed because several detectors and the
+    choice of plan read it.
     """
     ensure_checkpoint_dir(metrics.sparkSession)
     finite = F.when(X.is_finite(F.col("value")), F.col("value"))
@@ -213,8 +227,12 @@ def series_moments(metrics: DataFrame) -> tuple[DataFrame, GroupProfile]:
         )
         .checkpoint()
     )
-    row = moments.agg(F.count(F.lit(1)).alias("groups"), F.max("points").alias("largest")).first()
-    return moments, GroupProfile(row["groups"], row["largest"] or 0)
+    row = moments.agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.max("points").alias("largest"),
+        F.max(F.col("points") - F.col("finite")).alias("bad"),
+    ).first()
+    return Measure(moments, GroupProfile(row["groups"], row["largest"] or 0), not row["bad"])
 
 
 def series_bounds(
@@ -245,18 +263,22 @@ def outliers(
     metrics: DataFrame,
     sensitivity: float = 0.8,
     min_samples: int = MIN_SAMPLES,
-    measured: tuple[DataFrame, GroupProfile] | None = None,
+    measured: Measure | None = None,
     hot_rows: int = HOT_ROWS,
+    series: OrderedGroups | None = None,
 ) -> DataFrame:
     """Z-score outliers (detector 0) and, beyond them, inter-quartile outliers (detector 1).
 
     Limits come from one small aggregate joined back to the points; only the
-    mean of the preceding rows needs an ordered frame.
+    mean of the preceding rows needs an ordered frame. ``series`` may pass in the
+    finite points already ordered.
     """
     points = finite_points(metrics)
-    moments, profile = measured or series_moments(metrics)
-    bounds = series_bounds(points, moments, sensitivity, min_samples, profile, hot_rows)
-    recent = ordered_series(points, profile, hot_rows).frames(
+    measured = measured or measure_series(metrics)
+    profile = measured.profile
+    bounds = series_bounds(points, measured.moments, sensitivity, min_samples, profile, hot_rows)
+    series = series or ordered_series(points, profile, hot_rows)
+    recent = series.frames(
         RECENT_ROWS + 1,
         0,
         lambda w: {
@@ -290,14 +312,14 @@ def outliers(
 def nonfinite(
     metrics: DataFrame,
     min_samples: int = MIN_SAMPLES,
-    measured: tuple[DataFrame, GroupProfile] | None = None,
+    measured: Measure | None = None,
 ) -> DataFrame:
     """NaN and infinite points of series that are long enough (detector 2)."""
-    moments, profile = measured or series_moments(metrics)
+    measured = measured or measure_series(metrics)
     value = F.col("value")
     bad = metrics.where(value.isNotNull() & ~X.is_finite(value))
-    long = moments.where(F.col("points") >= min_samples).select(*SERIES)
-    hits = attach_groups(bad, long, SERIES, profile.groups, "left_semi")
+    long = measured.moments.where(F.col("points") >= min_samples).select(*SERIES)
+    hits = attach_groups(bad, long, SERIES, measured.profile.groups, "left_semi")
     name = F.col("name")
     zero = F.lit(0.0)
     shown = hits.withColumn("value", F.when(F.isnan("value"), 0.0).otherwise(F.col("value")))
@@ -450,18 +472,27 @@ def detect_anomalies(
     metrics: DataFrame,
     sensitivity: float = 0.8,
     min_samples: int = MIN_SAMPLES,
-    measured: tuple[DataFrame, GroupProfile] | None = None,
+    measured: Measure | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All detectors over all series, without repeats (unordered).
 
-    The series are measured once (:func:`series_moments`); plateau and divergence share one
+    The series are measured once (:func:`measure_series`); plateau and divergence share one
     numbered frame.
     """
-    measured = measured or series_moments(metrics)
-    losses = ordered_series(loss_points(metrics), measured[1], hot_rows).index()
+    measured = measured or measure_series(metrics)
+    finite = None
+    if measured.profile.is_hot(hot_rows):
+        # Spreading long series over the cluster is the costly step: do it once.
+        columns = [*SERIES, *series_order(metrics)]
+        known = metrics.select(*columns).where(F.col("value").isNotNull())
+        series = ordered_series(known, measured.profile, hot_rows).index()
+        losses = series.keep_groups(X.is_loss(F.col("name")))
+        finite = series if measured.all_finite else None
+    else:
+        losses = ordered_series(loss_points(metrics), measured.profile, hot_rows).index()
     found = (
-        outliers(metrics, sensitivity, min_samples, measured, hot_rows)
+        outliers(metrics, sensitivity, min_samples, measured, hot_rows, finite)
         .unionByName(nonfinite(metrics, min_samples, measured))
         .unionByName(_plateau_rows(_first_plateau(losses, min_samples)))
         .unionByName(_divergence_rows(_first_divergence(losses, min_samples)))

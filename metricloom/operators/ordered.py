@@ -207,6 +207,10 @@ class OrderedGroups:
         df = copies.withColumns(build(w)).where(F.col("_block") == block(F.col("idx")))
         return self._with(df.drop("_block"))
 
+    def keep_groups(self, condition: Column) -> OrderedGroups:
+        """Only the groups a condition on the keys selects; indexes stay valid."""
+        return self._with(self.df.where(condition))
+
     def attach(self, **aggregates: Column) -> OrderedGroups:
         """Add group-level aggregates to every row."""
         if not self.split:
