@@ -403,7 +403,7 @@ def insights_by_type(spark, folder):
             FROM shaped WHERE name = 'train_loss'),
         s AS (SELECT run_id, regr_slope(value, -k) AS trend FROM l WHERE k <= 50 GROUP BY run_id)
         SELECT b.run_id, total_steps, {r("current")} AS loss_current, {r("best")} AS loss_best,
-            {r("trend")} AS loss_trend, {r("(initial - current) / initial")} AS loss_reduction,
+            {r("trend")} AS loss_trend, {r("(initial - current) / nullif(initial, 0)")} AS loss_reduction,
             CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' ELSE 'info' END AS severity,
             CASE WHEN critical > 0 THEN 'Found ' || critical || ' critical issues requiring immediate attention.'
                 WHEN warning > 0 THEN 'Training is progressing but ' || warning || ' warnings detected.'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metricloom import model
 from metricloom.operators import insights as I
 from metricloom.operators import metrics as M
 from metricloom.plans.common import Registry, r, rounded, tables, with_tables
@@ -175,7 +176,7 @@ _KEYS = {
 )
 def log_key_normalise(spark, folder):
     events = tables.table(spark, folder, "events")
-    keyed = events.withColumn("key", tables._mapped("event_type", _KEYS))
+    keyed = events.withColumn("key", tables.mapped("event_type", _KEYS))
     return M.normalise_log_keys(keyed).select("event_id", "name", "value")
 
 
@@ -249,7 +250,7 @@ def run_leaderboard(spark, folder):
             a.final AS final_a, b.final AS final_b, a.points AS points_a, b.points AS points_b
             FROM s a JOIN s b ON CAST(b.run_id AS INT) = CAST(a.run_id AS INT) + 1)
         SELECT *, CASE WHEN best_a < best_b THEN run_a ELSE run_b END AS winner,
-            {r("(greatest(best_a, best_b) - least(best_a, best_b)) / greatest(best_a, best_b) * 100")} AS improvement
+            {r("(greatest(best_a, best_b) - least(best_a, best_b)) / nullif(greatest(best_a, best_b), 0) * 100")} AS improvement
         FROM p""",
     )
 )
@@ -347,8 +348,6 @@ def device_memory_rows(spark, folder):
     )
 )
 def raw_sql(spark, folder):
-    from metricloom import model
-
     model.register_views({"metrics": tables.metrics(spark, folder)})
     return model.sql(
         spark,

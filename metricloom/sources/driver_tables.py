@@ -25,7 +25,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _mapped(column: str, mapping: dict[str, str]) -> Column:
+def mapped(column: str, mapping: dict[str, str]) -> Column:
+    """The column with its values replaced; others stay."""
     out = None
     for key, value in mapping.items():
         out = (F.when if out is None else out.when)(F.col(column) == key, F.lit(value))
@@ -40,7 +41,7 @@ def metrics_from_events(events: DataFrame) -> DataFrame:
     """One metric row per event; works on batch and streaming frames alike."""
     return events.select(
         run_of_user().alias("run_id"),
-        _mapped("event_type", METRIC_OF_EVENT).alias("name"),
+        mapped("event_type", METRIC_OF_EVENT).alias("name"),
         "value",
         F.col("event_id").alias("step"),
         F.col("ts").cast("timestamp").alias("timestamp"),
@@ -55,7 +56,7 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     day = F.col("o_orderdate").cast("timestamp")
-    status = _mapped("o_orderstatus", STATUS_OF_ORDER)
+    status = mapped("o_orderstatus", STATUS_OF_ORDER)
     done = status != "running"
     config = F.to_json(
         F.struct(

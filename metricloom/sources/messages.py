@@ -5,10 +5,10 @@ The same functions serve batch frames and streams.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.model import MESSAGE
+from metricloom.model import MESSAGE, METRIC_TYPES
 
 # Message kinds.
 KINDS = ("metric", "metrics_batch", "tensor", "telemetry", "control")
@@ -21,13 +21,23 @@ def decode(raw: DataFrame, column: str = "value") -> DataFrame:
     return parsed.select("_raw", "m.*").withColumn("kind", F.coalesce("msg_type", F.lit("metric")))
 
 
-def quarantine(messages: DataFrame) -> DataFrame:
-    """Texts that are not JSON or of no known kind."""
-    return messages.where(F.col("_bad").isNotNull() | ~F.col("kind").isin(*KINDS)).select(
-        F.col("_raw").alias("raw")
+def _unusable() -> Column:
+    """Not JSON, of no known kind, or holding a metric of no known type."""
+    unknown = lambda t: F.coalesce(~t.isin(*METRIC_TYPES), F.lit(False))
+    in_batch = F.coalesce(F.exists("metrics", lambda m: unknown(m["metric_type"])), F.lit(False))
+    return (
+        F.col("_bad").isNotNull()
+        | ~F.col("kind").isin(*KINDS)
+        | unknown(F.col("metric_type"))
+        | in_batch
     )
 
 
+def quarantine(messages: DataFrame) -> DataFrame:
+    """The texts no other function below takes."""
+    return messages.where(_unusable()).select(F.col("_raw").alias("raw"))
+
+
 def metric_rows(messages: DataFrame) -> DataFrame:
     """Metric rows of single, batched and telemetry messages.
 
@@ -68,7 +78,7 @@ def metric_rows(messages: DataFrame) -> DataFrame:
         .when(F.col("kind") == "metrics_batch", batch)
         .when(F.col("kind") == "telemetry", readings)
     )
-    good = messages.where(F.col("_bad").isNull())
+    good = messages.where(~_unusable())
     rows = good.select("run_id", at.alias("timestamp"), F.explode(entries).alias("_e"))
     return rows.select("run_id", "timestamp", "_e.*").where(
         F.col("name").isNotNull() & F.col("step").isNotNull()

@@ -74,6 +74,11 @@ def read_metrics(
     return df.select(*model.METRICS.names)
 
 
+def compact_metrics(spark: SparkSession, source: str, target: str) -> None:
+    """Rewrite the many small files a stream leaves as large, sorted ones elsewhere."""
+    write_metrics(read_metrics(spark, source), target, mode="errorifexists")
+
+
 def export_metrics(metrics: DataFrame, run_id: str, path: str) -> bool:
     """A run's metrics ordered by step; nothing is written for a run without any."""
     rows = metrics.where(F.col("run_id") == run_id)

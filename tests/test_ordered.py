@@ -115,6 +115,22 @@ def test_operators_agree_when_split(spark, small):
         assert rows_of(build(20)) == rows_of(build(10**9))
 
 
+def test_results_do_not_depend_on_layout_or_other_runs(spark, small):
+    """Other partitions, other row order, or the same run under a second id: same rows."""
+    metrics = tables.metrics(spark, small)
+    twin = metrics.withColumn("run_id", F.concat(F.lit("twin-"), "run_id"))
+    key = ["metric_name", "step", "anomaly_type", "severity", "detector"]
+    base = rows_of(D.detect_anomalies(metrics, min_samples=10).select("run_id", *key))
+    assert base
+    shuffled = metrics.orderBy(F.rand(3)).repartition(11)
+    assert rows_of(D.detect_anomalies(shuffled, min_samples=10).select("run_id", *key)) == base
+    both = D.detect_anomalies(metrics.unionByName(twin), min_samples=10)
+    again = both.where(F.col("run_id").startswith("twin-")).withColumn(
+        "run_id", F.substring("run_id", 6, 10)
+    )
+    assert rows_of(again.select("run_id", *key)) == base
+
+
 def counter(steps):
     """The run counter, row by row."""
     at, out = 0, []
