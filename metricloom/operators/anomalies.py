@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from metricloom.functions import expressions as X
@@ -23,6 +24,7 @@ MIN_SAMPLES = 30
 RECENT_ROWS = 10
 PLATEAU_ROWS = 50
 PLATEAU_THRESHOLD = 0.001
+LOOK_AHEAD = (1, 5, 13, 29, 49)
 DIVERGENCE_EDGE = 10
 DIVERGENCE_FACTOR = 10.0
 IQR_CONFIDENCE = 0.7
@@ -347,8 +349,28 @@ def loss_points(metrics: DataFrame) -> DataFrame:
 def _first_plateau(series: OrderedGroups, min_samples: int) -> DataFrame:
     """Earliest flat stretch per series: a frame of PLATEAU_ROWS starting at each row."""
     size = PLATEAU_ROWS
+    v = F.col("value")
+    # Two values of a frame differ by at most sqrt(2 size) deviations. A flat frame
+    # therefore stays within this share of its first value, which a few look-aheads
+    # rule out for most rows of a live metric. Only stretches that pass are framed.
+    share = PLATEAU_THRESHOLD * math.sqrt(2 * size)
+    limit = F.abs(v) * (share / (1 - share) * 1.01)
+
+    def may_be_flat(w: WindowSpec) -> dict[str, Column]:
+        close = F.lit(True)
+        for k in LOOK_AHEAD:
+            close = close & (F.abs(F.lead(v, k).over(w) - v) <= limit)
+        return {"_may": F.coalesce(close, F.lit(False))}
+
+    def last_start(w: WindowSpec) -> dict[str, Column]:
+        start = F.when(F.col("_may"), F.col("idx"))
+        return {"_start": F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0))}
+
+    stretches = series.frames(size, size - 1, may_be_flat, last_start).keep(
+        F.col("idx") - F.col("_start") <= size
+    )
     ahead = lambda w: w.rowsBetween(0, size - 1)
-    framed = series.frames(
+    framed = stretches.frames(
         0,
         size,
         lambda w: {
@@ -361,6 +383,7 @@ def _first_plateau(series: OrderedGroups, min_samples: int) -> DataFrame:
     flat = framed.where(
         (F.col("n") >= F.greatest(F.lit(min_samples), F.lit(size)))
         & (F.col("idx") < F.col("n") - size)
+        & F.col("_may")
         & (F.col("_std") < PLATEAU_THRESHOLD * F.col("_abs"))
     )
     first = F.min_by(F.struct("step", "_mean", "_end"), "idx").alias("_f")
@@ -487,7 +510,7 @@ def detect_anomalies(
         columns = [*SERIES, *series_order(metrics)]
         known = metrics.select(*columns).where(F.col("value").isNotNull())
         series = ordered_series(known, measured.profile, hot_rows).index()
-        losses = series.keep_groups(X.is_loss(F.col("name")))
+        losses = series.keep(X.is_loss(F.col("name")))
         finite = series if measured.all_finite else None
     else:
         losses = ordered_series(loss_points(metrics), measured.profile, hot_rows).index()

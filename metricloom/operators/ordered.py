@@ -185,16 +185,19 @@ class OrderedGroups:
         return self._with(df.drop("_first", "_skip"))
 
     def frames(
-        self, before: int, after: int, build: Callable[[WindowSpec], dict[str, Column]]
+        self, before: int, after: int, *builds: Callable[[WindowSpec], dict[str, Column]]
     ) -> OrderedGroups:
         """Add window columns that look at most ``before``/``after`` rows away.
 
-        ``build`` receives the ordered window and returns the columns; it must
-        bound its frames (``rowsBetween``, ``lag``, ``lead``) by the two numbers.
+        Each ``build`` receives the ordered window and returns columns; later ones
+        may use the columns of earlier ones. Together they must not reach further
+        (``rowsBetween``, ``lag``, ``lead``) than the two numbers say.
         """
         if not self.split:
-            w = Window.partitionBy(*self.keys).orderBy(*self.order)
-            return self._with(self.df.withColumns(build(w)))
+            df, w = self.df, Window.partitionBy(*self.keys).orderBy(*self.order)
+            for build in builds:
+                df = df.withColumns(build(w))
+            return self._with(df)
 
         if self.block_rows <= before + after:
             raise ValueError("block_rows must exceed the frame length")
@@ -202,13 +205,14 @@ class OrderedGroups:
         block = lambda i: F.floor(i / F.lit(self.block_rows)).cast("long")
         first = block(F.greatest(F.col("idx") - after, F.lit(0)))
         last = block(F.least(F.col("idx") + before, F.col("n") - 1))
-        copies = source.df.withColumn("_block", F.explode(F.sequence(first, last)))
+        df = source.df.withColumn("_block", F.explode(F.sequence(first, last)))
         w = Window.partitionBy(*self.keys, "_block").orderBy("idx")
-        df = copies.withColumns(build(w)).where(F.col("_block") == block(F.col("idx")))
-        return self._with(df.drop("_block"))
+        for build in builds:
+            df = df.withColumns(build(w))
+        return self._with(df.where(F.col("_block") == block(F.col("idx"))).drop("_block"))
 
-    def keep_groups(self, condition: Column) -> OrderedGroups:
-        """Only the groups a condition on the keys selects; indexes stay valid."""
+    def keep(self, condition: Column) -> OrderedGroups:
+        """Only some rows. Those that are left keep their ``idx`` and ``n``."""
         return self._with(self.df.where(condition))
 
     def attach(self, **aggregates: Column) -> OrderedGroups:

@@ -97,6 +97,27 @@ def test_plateau_found_late(series):
     assert row["description"] == f"Loss plateau detected from step {start} to {start + 50}"
 
 
+@pytest.mark.parametrize("hot_rows", [50, 10**9])
+def test_plateaus_near_the_threshold(series, hot_rows):
+    """Noise around a thousandth of the level, with and without trend, sign and scale."""
+    rng = np.random.default_rng(17)
+    shapes = {}
+    for i, noise in enumerate([2e-4, 8e-4, 9.5e-4, 1e-3, 1.05e-3, 1.2e-3, 5e-3, 0.1]):
+        level = [5.0, -300.0, 1e-6, 40.0][i % 4]
+        flat = level * (1 + rng.normal(0, noise, 260))
+        shapes[f"loss_{i}"] = flat
+        shapes[f"loss_{i}_late"] = np.concatenate([level * rng.uniform(1, 3, 111), flat])
+        shapes[f"loss_{i}_drift"] = flat + level * np.linspace(0, 20 * noise, 260)
+    shapes["loss_zero"] = np.zeros(80)
+    found = D.plateaus(series(shapes), hot_rows=hot_rows)
+    got = {r["metric_name"]: (r["step"], r["value"]) for r in found.collect()}
+    want = {k: first_plateau(v) for k, v in shapes.items()}
+    assert {k: s for k, (s, _) in got.items()} == {k: s for k, s in want.items() if s is not None}
+    assert 5 < len(got) < len(shapes)
+    for k, (s, value) in got.items():
+        assert value == pytest.approx(shapes[k][s : s + 50].mean())
+
+
 def test_divergence(series):
     v = np.array([0.05 * i for i in range(200)])
     (row,) = D.divergences(series({"train_loss": v})).collect()
