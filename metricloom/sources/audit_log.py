@@ -36,7 +36,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     parsed = lines.select(
         *[c for c in lines.columns if c != "value"],
-        F.from_json("value", schema, options).alias("_e"),
+        F.explode(F.array(F.from_json("value", schema, options))).alias("_e"),  # parse once
     )
     keep = [c for c in lines.columns if c not in ("value", "line_no")]
     line_no = F.coalesce(F.col("_e.line_no"), F.col("line_no")) if "line_no" in lines.columns else F.col("_e.line_no")

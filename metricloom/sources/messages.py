@@ -15,9 +15,14 @@ KINDS = ("metric", "metrics_batch", "tensor", "telemetry", "control")
 
 
 def decode(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Parsed envelopes with their ``kind``; the raw text stays in ``_raw``."""
+    """Parsed envelopes with their ``kind``; the raw text stays in ``_raw``.
+
+    The one-element explode keeps the optimiser from copying the parse into every
+    filter and field that uses it.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    parsed = raw.select(F.col(column).alias("_raw"), F.from_json(column, MESSAGE, options).alias("m"))
+    parse = F.explode(F.array(F.from_json(column, MESSAGE, options)))
+    parsed = raw.select(F.col(column).alias("_raw"), parse.alias("m"))
     return parsed.select("_raw", "m.*").withColumn("kind", F.coalesce("msg_type", F.lit("metric")))
 
 
