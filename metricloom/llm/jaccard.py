@@ -7,10 +7,11 @@ so that two parts agree there. A signature names the band, the group, the two pa
 set holds in them; all three subsets of two parts are enumerated for every group. Sets that are
 similar enough therefore share a signature, with certainty.
 
-Nothing emits all pairs of a bucket. Equal sets are one class from the start. In a bucket each
-class is first checked against one centre only. Found links are joined to components, and only
-buckets that still hold several components are looked at again; there the rest of the pairs that
-cross components is checked, so that no link is lost.
+Nothing emits all pairs of a bucket. Equal sets are one class from the start. Each class is first
+checked against one centre only, the one it shares most signatures with. Found links are joined to
+components. Classes in buckets that still hold several components form clusters, and there the
+links between components are counted from shared shingles, block against block, inside tasks that
+return links only. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from metricloom.llm.common import SPACE_CLASS, quoted, stored
 SHINGLE = 3
 PERCENT = 90
 BAND_RATIO = 1.5
-STAR_ROUNDS = 2
+BLOCK_ELEMENTS = 1_000_000
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -132,31 +133,67 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, ratio: float = BAND
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def _profiles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, mark): set size and 128-bit mark of the set; texts are read once, nothing moves."""
+def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, mark, sigs): set size, 128-bit mark and signatures; texts are read once, nothing moves."""
 
-    @F.pandas_udf("n long, mark binary")
-    def profile(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n long, mark binary, sigs array<long>")
+    def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        sets = [shingle_set(t, hashes, size) for t in texts]
-        marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        return pd.DataFrame({"n": pd.array([len(s) for s in sets], "int64"), "mark": marks})
+        for texts in batches:
+            n, marks, sigs = [], [], []
+            for t in texts:
+                s = shingle_set(t, hashes, size)
+                n.append(len(s))
+                marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sigs.append(signatures(s, percent).view(np.int64))
+            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "sigs": sigs})
 
     p = docs.select("doc_id", profile.asNondeterministic()("text").alias("p"))
-    return p.select("doc_id", F.col("p.n").alias("n_shingles"), F.col("p.mark").alias("mark"))
+    return p.select("doc_id", F.col("p.n").alias("n_shingles"), F.col("p.mark").alias("mark"), F.col("p.sigs").alias("sigs"))
 
 
-def _signed(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _links_across(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links between the parts of each cluster, for ``members`` (cluster, class, part, main, elements).
+
+    A cluster is cut into blocks of about ``BLOCK_ELEMENTS`` shingles; a task holds two of them. For each
+    class outside the cluster's main part it counts the shingles shared with all others through an
+    index of the block, and returns one link to every part it is linked with.
+    """
+    so_far = Window.partitionBy("cluster").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum(F.size("elements").cast("long")).over(so_far), F.lit(0)) / BLOCK_ELEMENTS).cast("long")
+    blocks = members.withColumn("block", block).withColumn("last", F.max("block").over(Window.partitionBy("cluster")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
+    dealt = blocks.withColumn("pair", F.explode(pair)).select("cluster", "pair.i", "pair.j", "class", "part", "main", "elements")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("class")
+        names, parts = rows["class"].to_numpy(), rows["part"].to_numpy()
+        sets = [np.asarray(e, np.int64) for e in rows["elements"]]
+        sizes = np.array([len(e) for e in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        values, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        out = []
+        for u in np.flatnonzero(~rows["main"].to_numpy(bool)):
+            lo, hi = np.searchsorted(values, sets[u], "left"), np.searchsorted(values, sets[u], "right")
+            met = owner[np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())]
+            common = np.bincount(met, minlength=len(sets))
+            linked = (100 * common >= percent * (sizes[u] + sizes - common)) & (parts != parts[u])
+            _, first = np.unique(parts[linked], return_index=True)
+            out += [(names[u], x) for x in names[linked][first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _elements(texts: DataFrame, size: int) -> DataFrame:
+    @F.pandas_udf("array<long>")
+    def elements(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = WordHashes()
         for b in batches:
-            for lo in range(0, len(b), 256):
-                ids, out = b["class"].to_numpy()[lo : lo + 256], []
-                for t in b["text"].iloc[lo : lo + 256]:
-                    out.append(signatures(shingle_set(t, hashes, size), percent))
-                yield pd.DataFrame({"class": np.repeat(ids, [len(o) for o in out]), "sig": np.concatenate(out).view(np.int64)})
+            yield pd.Series([shingle_set(t, hashes, size).view(np.int64) for t in b], index=b.index, dtype=object)
 
-    return texts.mapInPandas(sign, "class long, sig long")
+    return texts.select("class", elements.asNondeterministic()("text").alias("elements"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,59 +263,43 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     marks. Other columns of ``docs`` are not read.
     """
     docs = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").alias("text")).where("doc_id IS NOT NULL")
-    profiles = _profiles(docs, size).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "mark")).alias("p"))
+    # Set by set: the small columns are grouped, the signatures stay where they are until needed.
+    signed = stored(_profiles(docs, size, percent), "signatures")
+    profiles = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "mark")).alias("p"))
     profiles = stored(profiles.select("doc_id", "p.n_shingles", "p.mark"), "profiles")
-    classes = profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class"))
-    classes = stored(classes, "classes")
-
-    # One text per class. A doc_id that repeats gives equal texts, or is told apart by its mark.
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").limit(1).count() > 0
-    if repeated:
-        marked = _with_marks(docs, size).join(profiles.select("doc_id", "mark"), ["doc_id", "mark"])
-        docs = marked.groupBy("doc_id").agg(F.first("text").alias("text"))
-    representatives = classes.select(F.col("class").alias("doc_id"))
-    texts = docs.join(representatives, "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "text")
+    classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class")), "classes")
 
+    heads = classes.select(F.col("class").alias("doc_id"), "mark").hint("merge")
+    entries = signed.where(F.size("sigs") > 0).join(heads, ["doc_id", "mark"], "left_semi")
     by_signature = Window.partitionBy("sig")
-    signed = _signed(texts, size, percent).withColumn("low", F.min("class").over(by_signature)).withColumn("high", F.max("class").over(by_signature))
-    shared = stored(signed.where("low < high").select("class", "sig", "low"), "shared-signatures")
-    wanted = stored(shared.select(F.col("class").alias("doc_id")).distinct(), "candidate-ids")
-    candidates = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "text")
-    candidates = stored(candidates.dropDuplicates(["class"]) if repeated else candidates, "candidates")
+    entries = entries.select(F.col("doc_id").alias("class"), F.explode("sigs").alias("sig"))
+    entries = entries.withColumn("low", F.min("class").over(by_signature)).withColumn("high", F.max("class").over(by_signature))
+    shared = stored(entries.where("low < high").select("class", "sig", "low"), "shared-signatures")
+    wanted = shared.select(F.col("class").alias("doc_id")).distinct().join(heads, "doc_id")
+    candidates = stored(_texts_of(docs, wanted, profiles, size), "candidates")
 
-    # Round 1: each class against the centre with which it shares most signatures.
+    # First each class against the centre with which it shares most signatures.
     votes = shared.where("class <> low").groupBy("class", "low").agg(F.count("*").alias("n"))
     best = votes.groupBy("class").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("m"))
     pairs = best.select((-F.col("m.low")).alias("a"), F.col("class").alias("b"))
-    tested = stored(_verified(pairs, candidates, size, percent), "tested")
-    entries, done, parts = shared.select("class", "sig"), tested, None
-    last = 0
-    for turn in range(1, STAR_ROUNDS + 2):
-        links = done.where("linked")
-        count = links.count()
-        if count > last:
-            parts, last = stored(components(links), "components"), count
-        mixed = _with_component(entries, parts, "class", "part")
-        mixed = mixed.withColumn("p_low", F.min("part").over(by_signature)).withColumn("p_high", F.max("part").over(by_signature))
-        mixed = stored(mixed.where("p_low < p_high").select("class", "sig", "part"), "mixed-signatures")
-        entries = mixed.select("class", "sig")
-        if turn <= STAR_ROUNDS:
-            # One centre per bucket, another in each turn.
-            order = F.xxhash64("class", F.lit(turn))
-            centre = mixed.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "class", "part")).alias("c"))
-            pairs = mixed.join(centre, "sig").where("part <> c.part").select(F.col("class").alias("x"), F.col("c.class").alias("y"))
-        else:
-            # The rest: whatever still crosses components inside a bucket.
-            other = mixed.select("sig", F.col("class").alias("y"), F.col("part").alias("part_y"))
-            pairs = mixed.join(other, "sig").where("class < y AND part <> part_y").select(F.col("class").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        old = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stored(pairs.join(old, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            done = done.union(stored(_verified(fresh, candidates, size, percent), "tested"))
-    links = done.where("linked")
-    if links.count() > last:
-        parts = stored(components(links), "components")
+    links = stored(_verified(pairs, candidates, size, percent).where("linked").select("a", "b"), "links")
+    parts = stored(components(links), "components")
+
+    # Then what still crosses components in a bucket.
+    mixed = _with_component(shared.select("class", "sig"), parts, "class", "part")
+    mixed = mixed.withColumn("p_low", F.min("part").over(by_signature)).withColumn("p_high", F.max("part").over(by_signature))
+    mixed = mixed.withColumn("low", F.min("class").over(by_signature)).where("p_low < p_high")
+    mixed = stored(mixed.select("class", "part", "low").distinct(), "mixed")
+    if not mixed.isEmpty():
+        clusters = components(mixed.select(F.col("class").alias("a"), F.col("low").alias("b")))
+        members = mixed.select("class", "part").distinct().join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
+        sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("m")).select("cluster", F.col("m.part").alias("main_part"))
+        members = members.join(main, "cluster").withColumn("main", F.col("part") == F.col("main_part"))
+        members = members.join(_elements(candidates, size), "class").select("cluster", "class", "part", "main", "elements")
+        more = stored(_links_across(members, percent), "links")
+        if not more.isEmpty():
+            parts = stored(components(links.union(more)), "components")
     labelled = _with_component(classes, parts, "class", "component_id")
     return (
         profiles.join(labelled.select("mark", "component_id"), "mark", "left")
@@ -286,6 +307,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame, profiles: DataFrame, size: int) -> DataFrame:
+    """(class, text) of the wanted (doc_id, mark), one row each; where doc_ids repeat, the text with that mark."""
+    rows, ids = profiles.count(), docs.select(F.count("*")).first()[0]
+    if rows == ids:
+        found = docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    else:
+        found = _with_marks(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), size).join(wanted, ["doc_id", "mark"], "left_semi")
+        found = found.groupBy("doc_id").agg(F.first("text").alias("text"))
+    return found.select(F.col("doc_id").alias("class"), "text")
+
+
 def _with_marks(docs: DataFrame, size: int) -> DataFrame:
     @F.pandas_udf("binary")
     def mark(texts: pd.Series) -> pd.Series:
