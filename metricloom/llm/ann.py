@@ -52,7 +52,9 @@ def build_index(points: DataFrame, keep_ids: int, shard_rows: int = SHARD_ROWS,
         ]
 
     schema = "dim int, shard long, place long, begins boolean, ids array<long>, v array<double>, near array<long>"
-    return stored(nodes.select("dim", "shard", "ids", "v").groupBy("dim", "shard").applyInPandas(graph_of, schema), "ann-graph")
+    # One partition per shard: the rows are few, the work is not, so they must not be merged by size.
+    dealt = nodes.select("dim", "shard", "ids", "v").repartition(shards, "dim", "shard")
+    return stored(dealt.groupBy("dim", "shard").applyInPandas(graph_of, schema), "ann-graph")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, block: int = BLOCK_QUERIES) -> DataFrame:
@@ -95,9 +97,11 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
             parts.append(out.groupby("query_id", sort=False).head(k))
         return pd.concat(parts, ignore_index=True) if parts else empty
 
+    tasks, place = blocks * max(1, index.select("dim", "shard").distinct().count()), ["dim", "shard", "block"]
     return (
-        copies.groupBy("dim", "shard", "block")
-        .cogroup(asked.groupBy("dim", "shard", "block"))
+        copies.repartition(tasks, *place)
+        .groupBy(*place)
+        .cogroup(asked.repartition(tasks, *place).groupBy(*place))
         .applyInPandas(nearest, "query_id long, vec_id long, score double")
     )
 

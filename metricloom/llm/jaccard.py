@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import SPACE_CLASS, quoted, stored
+from metricloom.llm.common import fresh, quoted, stored
 
 SHINGLE = 3
 PERCENT = 90
@@ -332,7 +332,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PE
 
     Rows without doc_id stay as they are; of repeated rows of a kept document one stays.
     """
-    found = near_duplicates(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    own = fresh(docs, "_kept")
+    found = near_duplicates(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias(own))
     named = docs.where(quoted("doc_id").isNotNull())
-    kept = named.join(found, quoted("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(found, quoted("doc_id").cast("long") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(quoted("doc_id").isNull()))

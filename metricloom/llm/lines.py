@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import SPACE_CLASS, quoted, stored
+from metricloom.llm.common import SPACE_CLASS, fresh, quoted, stored
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -63,14 +63,15 @@ def drop_boilerplate(
     boilerplate becomes empty. Repeated rows are pages of their own.
     """
     marks = stored(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
-    marks = marks.select(F.col("host").alias("_site"), F.col("marks").alias("_marks"))
-    joined = pages.alias("p").join(marks, quoted(host) == F.col("_site"), "left")
-    kept = F.filter(F.split(quoted(text), "\n"), lambda x: ~F.array_contains(F.col("_marks"), _mark(x)))
-    cleaned = F.when(F.col("_marks").isNull(), quoted(text)).otherwise(F.array_join(kept, "\n"))
+    site, found = fresh(pages, "_site"), fresh(pages, "_marks")
+    marks = marks.select(F.col("host").alias(site), F.col("marks").alias(found))
+    joined = pages.join(marks, quoted(host) == F.col(site), "left")
+    kept = F.filter(F.split(quoted(text), "\n"), lambda x: ~F.array_contains(F.col(found), _mark(x)))
+    cleaned = F.when(F.col(found).isNull(), quoted(text)).otherwise(F.array_join(kept, "\n"))
     columns = [cleaned.alias(c) if c == text else quoted(c) for c in pages.columns]
     if report:
         count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
         n_lines = F.when(quoted(text).isNull(), F.lit(0).cast("long")).otherwise(count(F.split(quoted(text), "\n")))
-        n_kept = F.when(F.col("_marks").isNull() | quoted(text).isNull(), n_lines).otherwise(count(kept))
+        n_kept = F.when(F.col(found).isNull() | quoted(text).isNull(), n_lines).otherwise(count(kept))
         columns += [n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")]
     return joined.select(*columns)

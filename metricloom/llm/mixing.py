@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import quoted, stored, word_count
+from metricloom.llm.common import fresh, quoted, stored, word_count
 
 SWEEPS = 12
 TEMPERATURE = 0.7
@@ -120,10 +120,11 @@ def mix(
     """
     rates = fit(docs, word_count(quoted(text)) if tokens is None else tokens, dims, **options)
     keys = [f"v{i}" for i in range(len(dims))]
-    rates = rates.select(*[F.col(k).alias(f"_mix_{k}") for k in keys], F.col("rate").alias("_mix_rate"))
-    same = [F.col(f"_mix_{k}") == _value(c) for k, c in zip(keys, dims.values())]
+    own, rate = {k: fresh(docs, f"_mix_{k}") for k in keys}, fresh(docs, "_mix_rate")
+    rates = rates.select(*[F.col(k).alias(own[k]) for k in keys], F.col("rate").alias(rate))
+    same = [F.col(own[k]) == _value(c) for k, c in zip(keys, dims.values())]
     joined = docs.join(rates, same, "left")
-    chosen = draw(F.coalesce(quoted(key).cast("string"), F.md5(quoted(text).cast("binary")), F.lit(""))) < F.col("_mix_rate")
+    chosen = draw(F.coalesce(quoted(key).cast("string"), F.md5(quoted(text).cast("binary")), F.lit(""))) < F.col(rate)
     if report:
-        return joined.select(*map(quoted, docs.columns), F.col("_mix_rate").alias("mix_rate"), chosen.alias("mix_kept"))
+        return joined.select(*map(quoted, docs.columns), F.col(rate).alias("mix_rate"), chosen.alias("mix_kept"))
     return joined.where(chosen).select(*map(quoted, docs.columns))

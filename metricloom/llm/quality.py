@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import WORD_PATTERN, quoted
+from metricloom.llm.common import WORD_PATTERN, fresh, quoted
 
 MEASURES = (
     "n_words n_chars word_chars n_symbols n_lines n_dup_lines n_repeat_words n_letters n_upper n_marked n_adjacent n_distinct"
@@ -132,7 +132,7 @@ def passes(bits: Column, policy: str = PRODUCTION, policies: Mapping[str, Sequen
 
 def keep(docs: DataFrame, text: str = "text", policy: str = PRODUCTION) -> DataFrame:
     """The rows a policy keeps, with the columns they came with. Null and empty texts fail ``few_words``."""
-    at = "_ledger" if "_ledger" not in docs.columns else "_ledger_of_" + "_".join(docs.columns)
+    at = fresh(docs, "_ledger")
     checked = ledger(docs, text, at=at)
     return checked.where(passes(quoted(at)["fail_bits"], policy)).select(*map(quoted, docs.columns))
 
