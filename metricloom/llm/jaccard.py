@@ -9,9 +9,10 @@ similar enough therefore share a signature, with certainty.
 
 Nothing emits all pairs of a bucket. Equal sets are one class from the start. Each class is first
 checked against one centre only, the one it shares most signatures with. Found links are joined to
-components. Classes in buckets that still hold several components form clusters, and there the
-links between components are counted from shared shingles, block against block, inside tasks that
-return links only. No link between components is lost.
+components, and in buckets that still hold several of them the pairs across are judged inside the
+join by a parity sketch: two sets differ in at least as many elements as their sketches in bits, so
+a pair it rejects cannot link. Only what it lets pass is emitted and compared by text. No link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from metricloom.llm.common import fresh, quoted, stored
 SHINGLE = 3
 PERCENT = 90
 BAND_RATIO = 1.5
-BLOCK_ELEMENTS = 1_000_000
+SKETCH_WORDS = 8
+WIDE_WORDS = 32
+WIDE_FROM = 400
+BLOCK_CHARS = 8_000_000
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -133,89 +137,75 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, ratio: float = BAND
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+def parity_sketch(elements: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """64-bit words whose bits say whether an odd number of elements falls in each of their cells."""
+    with np.errstate(over="ignore"):
+        cells = (_scramble(elements ^ _MIX3) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
+
+
+def sketches(elements: np.ndarray) -> np.ndarray:
+    """The short sketch, and for sets that would fill it a wide one after it."""
+    short = parity_sketch(elements)
+    return np.r_[short, parity_sketch(elements, WIDE_WORDS)] if len(elements) > WIDE_FROM else short
+
+
+def _bits_apart(a: str, b: str, words: range = range(SKETCH_WORDS)) -> str:
+    return " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in words)
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """Condition on the sizes and sketches of two sides: false only where the sets cannot reach the similarity."""
+    wide = _bits_apart(a, b, range(SKETCH_WORDS, SKETCH_WORDS + WIDE_WORDS))
+    most = f"({a}.n + {b}.n) * {100 - percent}"
+    sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    return f"{sizes} AND ({_bits_apart(a, b)}) * {100 + percent} <= {most} AND coalesce({wide}, 0) * {100 + percent} <= {most}"
+
+
 def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, mark, sigs): set size, 128-bit mark and signatures; texts are read once, nothing moves."""
+    """(doc_id, n_shingles, mark, sketch, sigs) of each text's set; texts are read once, nothing moves."""
 
-    @F.pandas_udf("n long, mark binary, sigs array<long>")
+    @F.pandas_udf("n long, mark binary, sketch array<long>, sigs array<long>")
     def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
-            n, marks, sigs = [], [], []
+            n, marks, marked, sigs = [], [], [], []
             for t in texts:
                 s = shingle_set(t, hashes, size)
                 n.append(len(s))
                 marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                marked.append(sketches(s))
                 sigs.append(signatures(s, percent).view(np.int64))
-            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "sigs": sigs})
+            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "sketch": marked, "sigs": sigs})
 
     p = docs.select("doc_id", profile.asNondeterministic()("text").alias("p"))
-    return p.select("doc_id", F.col("p.n").alias("n_shingles"), F.col("p.mark").alias("mark"), F.col("p.sigs").alias("sigs"))
+    return p.select("doc_id", F.col("p.n").alias("n_shingles"), F.col("p.mark").alias("mark"), F.col("p.sketch").alias("sketch"), F.col("p.sigs").alias("sigs"))
 
 
-def _links_across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links between the parts of each cluster, for ``members`` (cluster, class, part, main, elements).
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``: the exact test on the whole texts.
 
-    A cluster is cut into blocks of about ``BLOCK_ELEMENTS`` shingles; a task holds two of them. For each
-    class outside the cluster's main part it counts the shingles shared with all others through an
-    index of the block, and returns one link to every part it is linked with.
+    Classes are hashed into blocks of about ``BLOCK_CHARS``; a task gets the pairs between two blocks, and
+    each text that occurs in them once, however many pairs it is in.
     """
-    so_far = Window.partitionBy("cluster").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.floor(F.coalesce(F.sum(F.size("elements").cast("long")).over(so_far), F.lit(0)) / BLOCK_ELEMENTS).cast("long")
-    blocks = members.withColumn("block", block).withColumn("last", F.max("block").over(Window.partitionBy("cluster")))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    dealt = blocks.withColumn("pair", F.explode(pair)).select("cluster", "pair.i", "pair.j", "class", "part", "main", "elements")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class")
-        names, parts = rows["class"].to_numpy(), rows["part"].to_numpy()
-        sets = [np.asarray(e, np.int64) for e in rows["elements"]]
-        sizes = np.array([len(e) for e in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        values, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
-        out = []
-        for u in np.flatnonzero(~rows["main"].to_numpy(bool)):
-            lo, hi = np.searchsorted(values, sets[u], "left"), np.searchsorted(values, sets[u], "right")
-            met = owner[np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())]
-            common = np.bincount(met, minlength=len(sets))
-            linked = (100 * common >= percent * (sizes[u] + sizes - common)) & (parts != parts[u])
-            _, first = np.unique(parts[linked], return_index=True)
-            out += [(names[u], x) for x in names[linked][first]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-def _elements(texts: DataFrame, size: int) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def elements(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
-        for b in batches:
-            yield pd.Series([shingle_set(t, hashes, size).view(np.int64) for t in b], index=b.index, dtype=object)
-
-    return texts.select("class", elements.asNondeterministic()("text").alias("elements"))
+    blocks = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in "ab")
+    keyed = stored(pairs.select("a", "b", F.least(x, y).alias("i"), F.greatest(x, y).alias("j")), "block-pairs")
+    needed = keyed.select("i", "j", F.explode(F.array("a", "b")).alias("class")).distinct().join(texts, "class")
 
+    def test(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        sets = {c: shingle_set(t, hashes, size) for c, t in zip(held["class"], held["text"])}
+        linked = np.zeros(len(rows), bool)
+        for k, (a, b) in enumerate(zip(rows["a"], rows["b"])):
+            small, large = sorted((sets[a], sets[b]), key=len)
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            common = int((large[at] == small).sum())
+            linked[k] = 100 * common >= percent * (len(small) + len(large) - common)
+        return pd.DataFrame({"a": rows["a"], "b": rows["b"], "linked": linked})
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: the exact test on both texts, read in batches."""
-    a = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, left = WordHashes(), None, None
-        for rows in batches:
-            linked = np.zeros(len(rows), bool)
-            for i, (x, ta, tb) in enumerate(zip(rows["a"], rows["text_a"], rows["text_b"])):
-                if x != last:
-                    last, left = x, shingle_set(ta, hashes, size)
-                right = shingle_set(tb, hashes, size)
-                both = len(left) + len(right)
-                common = both - len(np.unique(np.concatenate([left, right])))
-                linked[i] = 100 * common >= percent * (both - common)
-            yield pd.DataFrame({"a": rows["a"], "b": rows["b"], "linked": linked})
-
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInPandas(test, "a long, b long, linked boolean")
+    by_block = keyed.groupBy("i", "j").cogroup(needed.select(F.col("i").alias("p"), F.col("j").alias("q"), "class", "text").groupBy("p", "q"))
+    return by_block.applyInPandas(test, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -269,37 +259,50 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     profiles = stored(profiles.select("doc_id", "p.n_shingles", "p.mark"), "profiles")
     classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class")), "classes")
 
-    heads = classes.select(F.col("class").alias("doc_id"), "mark").hint("merge")
-    entries = signed.where(F.size("sigs") > 0).join(heads, ["doc_id", "mark"], "left_semi")
+    # Entries of all rows meet in their buckets; copies leave only afterwards, when few entries are left.
     by_signature = Window.partitionBy("sig")
-    entries = entries.select(F.col("doc_id").alias("class"), F.explode("sigs").alias("sig"))
-    entries = entries.withColumn("low", F.min("class").over(by_signature)).withColumn("high", F.max("class").over(by_signature))
-    shared = stored(entries.where("low < high").select("class", "sig", "low"), "shared-signatures")
-    wanted = shared.select(F.col("class").alias("doc_id")).distinct().join(heads, "doc_id")
-    candidates = stored(_texts_of(docs, wanted, profiles, size), "candidates")
-
-    # First each class against the centre with which it shares most signatures.
-    votes = shared.where("class <> low").groupBy("class", "low").agg(F.count("*").alias("n"))
-    best = votes.groupBy("class").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("m"))
-    pairs = best.select((-F.col("m.low")).alias("a"), F.col("class").alias("b"))
-    links = stored(_verified(pairs, candidates, size, percent).where("linked").select("a", "b"), "links")
-    parts = stored(components(links), "components")
-
-    # Then what still crosses components in a bucket.
-    mixed = _with_component(shared.select("class", "sig"), parts, "class", "part")
-    mixed = mixed.withColumn("p_low", F.min("part").over(by_signature)).withColumn("p_high", F.max("part").over(by_signature))
-    mixed = mixed.withColumn("low", F.min("class").over(by_signature)).where("p_low < p_high")
-    mixed = stored(mixed.select("class", "part", "low").distinct(), "mixed")
-    if not mixed.isEmpty():
-        clusters = components(mixed.select(F.col("class").alias("a"), F.col("low").alias("b")))
-        members = mixed.select("class", "part").distinct().join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
-        sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("m")).select("cluster", F.col("m.part").alias("main_part"))
-        members = members.join(main, "cluster").withColumn("main", F.col("part") == F.col("main_part"))
-        members = members.join(_elements(candidates, size), "class").select("cluster", "class", "part", "main", "elements")
-        more = stored(_links_across(members, percent), "links")
-        if not more.isEmpty():
-            parts = stored(components(links.union(more)), "components")
+
+    def in_shared_buckets(rows: DataFrame, by: str) -> DataFrame:
+        rows = rows.withColumns({"low": F.min(by).over(by_signature), "high": F.max(by).over(by_signature)})
+        return rows.where("low < high").drop("high")
+
+    entries = in_shared_buckets(signed.select(F.col("doc_id").alias("class"), F.explode("sigs").alias("sig")), "class")
+    met = stored(entries.select("class", "sig"), "met")
+    shared = stored(in_shared_buckets(met.join(classes.select("class"), "class", "left_semi").distinct(), "class"), "shared-signatures")
+
+    words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH_WORDS + WIDE_WORDS)]
+    heads = signed.select(F.col("doc_id").alias("class"), "mark", F.col("n_shingles").alias("n"), *words)
+    heads = heads.join(classes, ["class", "mark"], "left_semi").drop("mark").dropDuplicates(["class"])
+    heads = stored(heads.join(shared.select("class").distinct(), "class", "left_semi"), "sketches")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = stored(ids.join(classes, "class").select(F.col("class").alias("doc_id"), "mark"), "wanted")
+        texts = stored(_texts_of(docs, wanted, profiles, size), "texts")
+        return stored(_verified(pairs, texts, size, percent), "compared")
+
+    # First each class against one centre of its buckets: the nearest by sketch.
+    star = shared.where("class <> low").select("class", "low").distinct()
+    star = star.join(heads.alias("x"), "class").join(heads.withColumnRenamed("class", "low").alias("y"), "low")
+    star = star.where(_may_link("x", "y", percent)).groupBy("class").agg(F.min(F.struct(F.expr(_bits_apart("x", "y")).alias("d"), "low")).alias("m"))
+    done = compared(stored(star.select(F.col("m.low").alias("a"), F.col("class").alias("b")), "pairs"))
+    parts = stored(components(done.where("linked")), "components")
+
+    # Then what still crosses components in a bucket: the nearest partner of each class, at last all the rest.
+    for nearest_only in (True, False):
+        mixed = in_shared_buckets(_with_component(shared.select("class", "sig"), parts, "class", "part"), "part").drop("low")
+        mixed = mixed.join(heads, "class")
+        across = f"x.sig = y.sig AND x.class < y.class AND x.part <> y.part AND {_may_link('x', 'y', percent)}"
+        pairs = mixed.alias("x").join(mixed.alias("y"), F.expr(across))
+        pairs = pairs.selectExpr("x.class AS a", "y.class AS b", f"{_bits_apart('x', 'y')} AS d").distinct()
+        pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        if nearest_only:
+            pairs = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
+        fresh_pairs = stored(pairs.select("a", "b"), "pairs")
+        if fresh_pairs.isEmpty():
+            break
+        done = done.union(compared(fresh_pairs))
+        parts = stored(components(done.where("linked")), "components")
     labelled = _with_component(classes, parts, "class", "component_id")
     return (
         profiles.join(labelled.select("mark", "component_id"), "mark", "left")
@@ -311,9 +314,9 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, profiles: DataFrame, size: int
     """(class, text) of the wanted (doc_id, mark), one row each; where doc_ids repeat, the text with that mark."""
     rows, ids = profiles.count(), docs.select(F.count("*")).first()[0]
     if rows == ids:
-        found = docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi")
+        found = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
     else:
-        found = _with_marks(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), size).join(wanted, ["doc_id", "mark"], "left_semi")
+        found = _with_marks(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), size).join(wanted, ["doc_id", "mark"], "left_semi")
         found = found.groupBy("doc_id").agg(F.first("text").alias("text"))
     return found.select(F.col("doc_id").alias("class"), "text")
 

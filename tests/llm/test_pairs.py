@@ -45,8 +45,7 @@ def family(seed, copies, length, edits):
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_components(spark, monkeypatch, size, percent):
-    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 2_000)  # several blocks per cluster
+def test_components(spark, size, percent):
     texts = [t for s, (n, length, e) in enumerate([(60, 150, 6), (12, 12, 1), (8, 700, 40), (5, 4, 1)]) for t in family(s, n, length, e)]
     texts += [None, "", " \n", "One", "one", "ONE two", "Été a b", "été a b", texts[0], texts[0].upper(), "a b c " * 4000]
     rows = list(enumerate(texts))
@@ -80,6 +79,15 @@ def test_signatures_never_miss(percent):
                     assert set(jaccard.signatures(a, percent).tolist()) & set(jaccard.signatures(b, percent).tolist())
 
 
+def test_sketch_never_overstates():
+    rng = np.random.default_rng(5)
+    for n in (1, 10, 300, 3000):
+        a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for _ in "ab")
+        b[: n // 2] = a[: n // 2]
+        x, y = jaccard.parity_sketch(np.unique(a)), jaccard.parity_sketch(np.unique(b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     found = {r["node"]: r["component"] for r in jaccard.components(links).collect()}
