@@ -395,14 +395,18 @@ def leaderboard(metrics: DataFrame, name: str) -> DataFrame:
 def rank_runs(per_run: DataFrame) -> DataFrame:
     """Competition rank by ``best``: one more than the number of strictly better runs.
 
+    NaN comes after all numbers; runs without any value come last and share a rank.
+
     Runs are few compared with points, yet not bounded, so the rank is read from
     a running count over distinct best values instead of one window over all runs.
     """
-    by_best = per_run.groupBy("best").agg(F.count(F.lit(1)).alias("_runs"))
+    valued = per_run.where(F.col("best").isNotNull())
+    by_best = valued.groupBy("best").agg(F.count(F.lit(1)).alias("_runs"))
     one = by_best.withColumn("_all", F.lit(1))
     ahead = OrderedGroups(one, ["_all"], ["best"]).running("_ahead", "sum", F.col("_runs")).result()
     ranked = ahead.select("best", (F.coalesce(F.col("_ahead"), F.lit(0)) + 1).alias("rank"))
-    return per_run.join(ranked, "best")
+    last = F.lit(valued.count() + 1)
+    return per_run.join(ranked, "best", "left").withColumn("rank", F.coalesce("rank", last))
 
 
 # -- chart thinning ----------------------------------------------------------

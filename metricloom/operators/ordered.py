@@ -299,5 +299,6 @@ def exact_quantiles(
         v_low = F.max(F.when(has(low), found))
         v_high = F.max(F.when(has(high), found))
         share = F.max(rank - low)
-        columns.append((v_low + (v_high - v_low) * share).alias(name))
+        # Equal ends need no arithmetic, which would turn two infinities into NaN.
+        columns.append(F.when(v_low == v_high, v_low).otherwise(v_low + (v_high - v_low) * share).alias(name))
     return ranked.result().where(wanted).groupBy(*keys).agg(*columns)

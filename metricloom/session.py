@@ -14,8 +14,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+MAX_SHUFFLE_PARTITIONS = 50_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,13 +38,15 @@ def build_session(
 def sized_for(input_bytes: int, partition_bytes: int = 128 * 1024**2) -> dict[str, str]:
     """Settings for a job over this much input.
 
-    Shuffles start with one partition per ``partition_bytes``; AQE merges the ones
-    that turn out small. Scans read splits of the same size.
+    Shuffles start with one partition per ``partition_bytes``, but at most
+    ``MAX_SHUFFLE_PARTITIONS`` larger ones: blocks grow with the square of the number and
+    the driver keeps a status per map task. AQE merges partitions that turn out small.
     """
-    partitions = max(200, -(-input_bytes // partition_bytes))
+    partitions = min(MAX_SHUFFLE_PARTITIONS, max(200, -(-input_bytes // partition_bytes)))
+    shuffled = max(partition_bytes, -(-input_bytes // partitions)) if partitions == MAX_SHUFFLE_PARTITIONS else partition_bytes
     return {
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffled),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
     }
 

@@ -38,9 +38,17 @@ def _unusable() -> Column:
     )
 
 
+def _incomplete() -> Column:
+    """A metric message, or one with an entry, that lacks its name or step and so yields no row."""
+    lacking = lambda m: m["name"].isNull() | m["step"].isNull()
+    single = (F.col("kind") == "metric") & (F.col("name").isNull() | F.col("step").isNull())
+    batch = (F.col("kind") == "metrics_batch") & F.coalesce(F.exists("metrics", lacking), F.lit(True))
+    return F.coalesce(single | batch, F.lit(False))
+
+
 def quarantine(messages: DataFrame) -> DataFrame:
-    """The texts no other function below takes."""
-    return messages.where(_unusable()).select(F.col("_raw").alias("raw"))
+    """The texts no other function below takes, or of which it does not take every entry."""
+    return messages.where(_unusable() | _incomplete()).select(F.col("_raw").alias("raw"))
 
 
 def metric_rows(messages: DataFrame) -> DataFrame:
@@ -91,11 +99,14 @@ def metric_rows(messages: DataFrame) -> DataFrame:
 
 
 def tensor_elements(messages: DataFrame) -> DataFrame:
-    """Tensor messages as (run_id, name, step, pos, value); nested lists are flattened in order."""
+    """Tensor messages as (run_id, name, step, pos, value); nested lists are flattened in order.
+
+    Every element keeps its place: NaN and infinities are values, anything else that is no number is null.
+    """
     tensors = messages.where(F.col("kind") == "tensor")
-    numbers = F.regexp_extract_all("data", F.lit(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0))
+    numbers = F.regexp_extract_all("data", F.lit(r"[^\[\],\s]+"), F.lit(0))
     return tensors.select("run_id", "name", "step", F.posexplode(numbers).alias("pos", "_v")).select(
-        "run_id", "name", "step", "pos", F.col("_v").cast("double").alias("value")
+        "run_id", "name", "step", "pos", F.col("_v").try_cast("double").alias("value")
     )
 
 

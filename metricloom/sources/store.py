@@ -53,16 +53,20 @@ def write_metrics(
 
 
 def read_metrics(
-    spark: SparkSession, path: str, run_ids: Sequence[str] | None = None, bucketed: bool = False
+    spark: SparkSession,
+    path: str,
+    run_ids: Sequence[str] | None = None,
+    bucketed: bool = False,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
-    """Metrics of all or some runs. The schema is fixed; unreadable files are skipped.
+    """Metrics of all or some runs. The schema is fixed; an unreadable file stops the read unless ``skip_corrupt``.
 
     Only the partitions of the named runs are listed and read.
     """
     schema = model.METRICS
     if bucketed:
         schema = T.StructType([*schema.fields, T.StructField("run_bucket", T.IntegerType())])
-    df = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    df = spark.read.schema(schema).option("ignoreCorruptFiles", skip_corrupt).parquet(path)
     if run_ids is not None:
         if bucketed:
             wanted = spark.range(1).select(

@@ -29,7 +29,7 @@ def start_metric_sink(
 def start_message_ingest(
     raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Decode each micro-batch once and write its three outputs.
+    """Decode each micro-batch once and write its four outputs.
 
     Every output folder is named by the batch id and overwritten on a retry, so
     a batch that is run again adds nothing.
@@ -40,6 +40,7 @@ def start_message_ingest(
         try:
             for name, rows in (
                 ("metrics", M.metric_rows(messages)),
+                ("tensors", M.tensor_elements(messages)),
                 ("status_events", M.status_events(messages)),
                 ("quarantine", M.quarantine(messages)),
             ):

@@ -158,3 +158,13 @@ def test_downsample_of_long_series(series):
     steps = {r["step"] for r in got.where("name = 'x'").collect()}
     assert len(steps) == 20 and {0, 1234, 4321, 4999} <= steps
     assert got.where("name = 'short'").count() == 2
+
+
+def test_leaderboard_loses_no_run(spark):
+    inf = float("inf")
+    rows = [("a", 1.0), ("b", None), ("c", inf), ("d", float("nan")), ("e", -inf), ("f", None), ("g", 1.0)]
+    points = spark.createDataFrame(
+        [(r, "loss", v, 1, None) for r, v in rows], "run_id string, name string, value double, step long, timestamp timestamp"
+    )
+    ranks = {r["run_id"]: r["rank"] for r in M.leaderboard(points, "loss").collect()}
+    assert ranks == {"e": 1, "a": 2, "g": 2, "c": 4, "d": 5, "b": 6, "f": 6}

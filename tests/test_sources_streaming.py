@@ -45,7 +45,7 @@ def test_unreadable_files_are_skipped(spark, metrics, tmp_path):
     path = tmp_path / "metrics"
     store.write_metrics(metrics, str(path), GroupProfile(8, 100))
     (path / "run_id=1" / "broken.parquet").write_bytes(b"not parquet")
-    assert store.read_metrics(spark, str(path)).count() == metrics.count()
+    assert store.read_metrics(spark, str(path), skip_corrupt=True).count() == metrics.count()
 
 
 def test_compaction(spark, metrics, tmp_path):
@@ -100,10 +100,27 @@ def test_views_and_sql(spark, metrics):
 
 def test_session_helpers(spark, tmp_path):
     conf = session.sized_for(100 * 1024**4)
-    assert conf["spark.sql.shuffle.partitions"] == str(100 * 1024**4 // (128 * 1024**2))
+    assert conf["spark.sql.shuffle.partitions"] == str(session.MAX_SHUFFLE_PARTITIONS)
+    assert int(conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) > 2 * 1024**3
+    assert session.sized_for(1024**4)["spark.sql.shuffle.partitions"] == str(1024**4 // (128 * 1024**2))
     assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def test_no_message_is_lost(spark):
+    rows = [
+        {"msg_type": "metric", "run_id": "r", "timestamp": 1.0, "value": 1.0, "step": 1},
+        {"msg_type": "metric", "run_id": "r", "timestamp": 1.0, "name": "loss", "value": 1.0},
+        {"msg_type": "metrics_batch", "run_id": "r", "timestamp": 1.0, "metrics": [{"name": "a", "value": 1.0, "step": 1}, {"value": 2.0, "step": 1}]},
+    ]
+    texts = [json.dumps(r) for r in rows]
+    tensor = '{"msg_type": "tensor", "run_id": "r", "timestamp": 1.0, "name": "t", "step": 1, "data": "[[1.0, NaN], [-Infinity, null, 3e2]]"}'
+    messages = M.decode(spark.createDataFrame([(t,) for t in [*texts, tensor]], "value string"))
+    assert sorted(r["raw"] for r in M.quarantine(messages).collect()) == sorted(texts)
+    assert [r["name"] for r in M.metric_rows(messages).collect()] == ["a"]
+    values = {r["pos"]: r["value"] for r in M.tensor_elements(messages).collect()}
+    assert values[0] == 1.0 and values[1] != values[1] and values[2] == float("-inf") and values[3] is None and values[4] == 300.0
+
+
 # -- messages ----------------------------------------------------------------
 
 MESSAGES = [
