@@ -5,14 +5,16 @@ threshold differ in at most k elements. The feature domain (shingle hashes) is s
 so that in one of them the sets differ in at most one element, and each group into three parts,
 so that two parts agree there. A signature names the band, the group, the two parts and what the
 set holds in them; all three subsets of two parts are enumerated for every group. Sets that are
-similar enough therefore share a signature, with certainty.
-
-Nothing emits all pairs of a bucket. Equal sets are one class from the start. Each class is first
-checked against one centre only, the one it shares most signatures with. Found links are joined to
-components, and in buckets that still hold several of them the pairs across are judged inside the
-join by a parity sketch: two sets differ in at least as many elements as their sketches in bits, so
-a pair it rejects cannot link. Only what it lets pass is emitted and compared by text. No link
-between components is lost.
+similar enough therefore share a signature, with certainty. Spare groups make sure that they also
+share one that is not empty, so that sets do not meet for what both lack.
+
+Nothing emits all pairs of a bucket. Equal sets are one class from the start, and of buckets with the
+same classes one is kept. First each class meets only its neighbours in its buckets, and the nearest of
+them is compared by text; found links make components. In buckets that still hold several components
+the pairs across are judged by a parity sketch: two sets differ in at least as many elements as their
+sketches in bits, so a pair it rejects cannot link. Large buckets are cut into tiles, which tasks
+compare two by two. Only what the sketch lets pass is emitted and compared by text. No link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ SKETCH_WORDS = 8
 WIDE_WORDS = 32
 WIDE_FROM = 400
 BLOCK_CHARS = 8_000_000
+ENTRY_ROWS = 200_000
+TILE = 1000
+REACH = 16
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -102,11 +107,23 @@ def allowed_difference(largest: int, percent: int = PERCENT) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
+def spare_groups(k: int, smallest: int) -> int:
+    """Groups in which a set of the band's smallest size can be expected to lack two of the three parts, and some more."""
+    groups = k // 2 + 1
+    lacking = np.exp(-smallest / (3 * groups))
+    expected = groups * (3 * lacking**2 - 2 * lacking**3)
+    return int(np.ceil(expected + 2 * np.sqrt(expected)))
+
+
 def signatures(elements: np.ndarray, percent: int = PERCENT, ratio: float = BAND_RATIO) -> np.ndarray:
     """PartEnum signatures of one set.
 
     A set signs for its own band and, when a partner may lie in the next, for that too. Sets of a
     band whose allowed difference is 0 need none: similar ones are equal.
+
+    ``spare`` + 1 groups or more hold at most one difference, and there two parts agree. A set with at
+    most ``spare`` groups that have two empty parts so agrees with each partner in two parts that are
+    not both empty, and leaves out the signatures of empty parts. Any other set keeps them.
     """
     n = len(elements)
     if not n:
@@ -123,7 +140,8 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, ratio: float = BAND
             k = allowed_difference(high, percent)
             if not k:
                 continue
-            groups = (k + 2) // 2
+            spare = spare_groups(k, low)
+            groups = k // 2 + 1 + spare
             part = (scrambled >> np.uint64(32)) % np.uint64(groups * 3)
             order = np.argsort(part, kind="stable")
             placed = part[order]
@@ -131,9 +149,12 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, ratio: float = BAND
             start = np.flatnonzero(np.r_[True, placed[1:] != placed[:-1]])
             sums[placed[start].astype(np.int64)] = np.add.reduceat(_scramble(elements[order]), start)
             sums = sums.reshape(groups, 3)
+            empty = np.bincount(part.astype(np.int64), minlength=groups * 3).reshape(groups, 3) == 0
+            skip = np.count_nonzero(empty.sum(axis=1) > 1) <= spare
             number = np.arange(groups, dtype=np.uint64) + np.uint64(band << 40)
             for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-                found.append(_scramble(_scramble(sums[:, a] + number * _MIX3) + sums[:, b] + np.uint64(i + 1)))
+                one = _scramble(_scramble(sums[:, a] + number * _MIX3) + sums[:, b] + np.uint64(i + 1))
+                found.append(one[~(empty[:, a] & empty[:, b])] if skip else one)
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -144,42 +165,135 @@ def parity_sketch(elements: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray
     return np.packbits(np.bincount(cells, minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
 
 
-def sketches(elements: np.ndarray) -> np.ndarray:
-    """The short sketch, and for sets that would fill it a wide one after it."""
-    short = parity_sketch(elements)
-    return np.r_[short, parity_sketch(elements, WIDE_WORDS)] if len(elements) > WIDE_FROM else short
-
+def sketches(elements: np.ndarray) -> tuple[bytes, bytes | None]:
+    """The short sketch, and for sets that would fill it a wide one."""
+    return parity_sketch(elements).tobytes(), parity_sketch(elements, WIDE_WORDS).tobytes() if len(elements) > WIDE_FROM else None
 
-def _bits_apart(a: str, b: str, words: range = range(SKETCH_WORDS)) -> str:
-    return " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in words)
 
+def _bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
 
-def _may_link(a: str, b: str, percent: int) -> str:
-    """Condition on the sizes and sketches of two sides: false only where the sets cannot reach the similarity."""
-    wide = _bits_apart(a, b, range(SKETCH_WORDS, SKETCH_WORDS + WIDE_WORDS))
-    most = f"({a}.n + {b}.n) * {100 - percent}"
-    sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
-    return f"{sizes} AND ({_bits_apart(a, b)}) * {100 + percent} <= {most} AND coalesce({wide}, 0) * {100 + percent} <= {most}"
 
+def _bucket_pairs(rows: pd.DataFrame, percent: int, reach: int | None, nearest: bool) -> pd.DataFrame:
+    """(a, b, d) from rows of whole buckets, in order of their keys: pairs across parts that may link.
 
-def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, mark, sketch, sigs) of each text's set; texts are read once, nothing moves."""
-
-    @F.pandas_udf("n long, mark binary, sketch array<long>, sigs array<long>")
+    Rows are compared with those 1, 2, 3 ... places further on in the same bucket, all buckets at a time;
+    with ``reach`` only so far. ``nearest`` keeps the nearest smaller partner of each class.
+    """
+    keys = rows[["sig", "i", "j"]].to_numpy(np.int64)
+    ids, part, n, tile = (rows[c].to_numpy(np.int64) for c in ("class", "part", "n", "tile"))
+    short = np.frombuffer(b"".join(rows["short"]), np.uint64).reshape(-1, SKETCH_WORDS)
+    has_wide = np.array([w is not None for w in rows["wide"]], bool)
+    wide_at = np.cumsum(has_wide) - 1
+    wide = np.frombuffer(b"".join(w for w in rows["wide"] if w is not None), np.uint64).reshape(-1, WIDE_WORDS)
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    ends = np.repeat(np.r_[starts[1:], len(keys)], np.diff(np.r_[starts, len(keys)]))
+    split = keys[:, 1] != keys[:, 2]
+    found, at, step = [], np.arange(len(keys)), 1
+    while True:
+        at = at[at + step < ends[at]]
+        if not len(at) or reach is not None and step > reach:
+            break
+        x, y = at, at + step
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        fit = (part[x] != part[y]) & (100 * small >= percent * large) & (~split[x] | (tile[x] != tile[y]))
+        x, y = x[fit], y[fit]
+        most = (n[x] + n[y]) * (100 - percent)
+        d = _bits_apart(short[x], short[y])
+        both = has_wide[x] & has_wide[y]
+        d[both] = np.maximum(d[both], _bits_apart(wide[wide_at[x[both]]], wide[wide_at[y[both]]]))
+        fit = d * (100 + percent) <= most
+        x, y = x[fit], y[fit]
+        found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), d[fit]]))
+        step += 1
+    a, b, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    pairs = pd.DataFrame({"a": a, "b": b, "d": d})
+    if nearest:
+        return pairs.sort_values(["b", "d", "a"]).drop_duplicates("b")
+    return pairs.drop_duplicates(["a", "b"])
+
+
+def _candidates(mixed: DataFrame, percent: int, reach: int | None, nearest: bool) -> DataFrame:
+    """(a, b, d) of the buckets in ``mixed`` (sig, class, part, size, n, short, wide).
+
+    A bucket of more than ``TILE`` classes is dealt into tiles; a key (sig, i, j) holds two of them.
+    With ``reach`` tiles are only compared within themselves.
+    """
+    tiles = F.ceil(F.col("size") / TILE).cast("long")
+    rows = mixed.withColumn("tile", F.pmod(F.xxhash64("class"), tiles))
+    other = F.array("tile") if reach is not None else F.sequence(F.lit(0).cast("long"), tiles - 1)
+    rows = rows.withColumn("other", F.explode(other))
+    rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "class", "part", "n", "short", "wide")
+    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "class")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            last = (batch[["sig", "i", "j"]] == batch[["sig", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+            rest = batch[last]
+            if not last.all():
+                yield _bucket_pairs(batch[~last], percent, reach, nearest)
+        if rest is not None:
+            yield _bucket_pairs(rest, percent, reach, nearest)
+
+    return rows.mapInPandas(compare, "a long, b long, d long")
+
+
+def _profiles(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, mark, short, wide) of each text's set."""
+
+    @F.pandas_udf("n long, mark binary, short binary, wide binary")
     def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
-            n, marks, marked, sigs = [], [], [], []
+            n, marks, marked = [], [], []
             for t in texts:
                 s = shingle_set(t, hashes, size)
                 n.append(len(s))
-                marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                marks.append(_mark(s))
                 marked.append(sketches(s))
-                sigs.append(signatures(s, percent).view(np.int64))
-            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "sketch": marked, "sigs": sigs})
+            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "short": [x for x, _ in marked], "wide": [x for _, x in marked]})
 
     p = docs.select("doc_id", profile.asNondeterministic()("text").alias("p"))
-    return p.select("doc_id", F.col("p.n").alias("n_shingles"), F.col("p.mark").alias("mark"), F.col("p.sketch").alias("sketch"), F.col("p.sigs").alias("sigs"))
+    return p.select("doc_id", F.col("p.n").alias("n_shingles"), "p.mark", "p.short", "p.wide")
+
+
+def _mark(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(class, sig): the signatures of all texts, made while they are read again, so that they are stored nowhere.
+
+    Of equal sets in a batch only the smallest doc_id signs, so a large group of copies sends few
+    entries; the smallest doc_id of all copies always signs.
+    """
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            seen: set[bytes] = set()
+            batch = batch.sort_values("doc_id")
+            ids, sigs, held = [], [], 0
+            for i, t in zip(batch["doc_id"], batch["text"]):
+                s = shingle_set(t, hashes, size)
+                mark = _mark(s)
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                g = signatures(s, percent)
+                ids.append(np.full(len(g), i, np.int64))
+                sigs.append(g.view(np.int64))
+                held += len(g)
+                if held > ENTRY_ROWS:
+                    yield pd.DataFrame({"class": np.concatenate(ids), "sig": np.concatenate(sigs)})
+                    ids, sigs, held = [], [], 0
+            if held:
+                yield pd.DataFrame({"class": np.concatenate(ids), "sig": np.concatenate(sigs)})
+
+    return docs.mapInPandas(sign, "class long, sig long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -235,9 +349,33 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.union(smallest.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _with_component(rows: DataFrame, parts: DataFrame | None, column: str, out: str) -> DataFrame:
-    if parts is None:
-        return rows.withColumn(out, F.col(column))
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest (node, parent) with parent < node, one parent each: the root of each node and of itself.
+
+    Each round every node takes its parent's parent, so rounds grow with the logarithm of the depth.
+    """
+    at = stored(parents, "forest")
+    while True:
+        up = at.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        step = at.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        step = stored(step, "forest")
+        moved, at = step.where("moved"), step.select("node", "parent")
+        if moved.isEmpty():
+            break
+    found = at.select("node", F.col("parent").alias("component"))
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` after further links (a, b): only the graph between components is searched."""
+    ends = _with_component(_with_component(links.select("a", "b"), parts, "a", "u"), parts, "b", "v")
+    larger = stored(components(ends.select("u", "v"), "u", "v"), "components")
+    nodes = parts.union(larger.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("part"))
+    moved = larger.select(F.col("node").alias("part"), F.col("component").alias("_to"))
+    return stored(nodes.join(moved, "part", "left").select("node", F.coalesce("_to", "part").alias("component")), "components")
+
+
+def _with_component(rows: DataFrame, parts: DataFrame, column: str, out: str) -> DataFrame:
     p = parts.select(F.col("node").alias(column), F.col("component").alias("_c"))
     return rows.join(p, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
@@ -253,8 +391,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     marks. Other columns of ``docs`` are not read.
     """
     docs = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").alias("text")).where("doc_id IS NOT NULL")
-    # Set by set: the small columns are grouped, the signatures stay where they are until needed.
-    signed = stored(_profiles(docs, size, percent), "signatures")
+    signed = stored(_profiles(docs, size), "sets")
     profiles = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "mark")).alias("p"))
     profiles = stored(profiles.select("doc_id", "p.n_shingles", "p.mark"), "profiles")
     classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class")), "classes")
@@ -266,12 +403,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         rows = rows.withColumns({"low": F.min(by).over(by_signature), "high": F.max(by).over(by_signature)})
         return rows.where("low < high").drop("high")
 
-    entries = in_shared_buckets(signed.select(F.col("doc_id").alias("class"), F.explode("sigs").alias("sig")), "class")
+    entries = in_shared_buckets(_entries(docs, size, percent), "class")
     met = stored(entries.select("class", "sig"), "met")
     shared = stored(in_shared_buckets(met.join(classes.select("class"), "class", "left_semi").distinct(), "class"), "shared-signatures")
 
-    words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH_WORDS + WIDE_WORDS)]
-    heads = signed.select(F.col("doc_id").alias("class"), "mark", F.col("n_shingles").alias("n"), *words)
+    # A bucket with the classes of another one tells nothing new.
+    content = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    same = shared.groupBy("sig").agg(F.count("*").alias("size"), *content).groupBy("size", "x0", "x1").agg(F.min("sig").alias("sig"))
+    shared = stored(shared.select("class", "sig").join(same.select("sig", "size"), "sig"), "buckets")
+
+    heads = signed.select(F.col("doc_id").alias("class"), "mark", F.col("n_shingles").alias("n"), "short", "wide")
     heads = heads.join(classes, ["class", "mark"], "left_semi").drop("mark").dropDuplicates(["class"])
     heads = stored(heads.join(shared.select("class").distinct(), "class", "left_semi"), "sketches")
 
@@ -281,28 +422,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         texts = stored(_texts_of(docs, wanted, profiles, size), "texts")
         return stored(_verified(pairs, texts, size, percent), "compared")
 
-    # First each class against one centre of its buckets: the nearest by sketch.
-    star = shared.where("class <> low").select("class", "low").distinct()
-    star = star.join(heads.alias("x"), "class").join(heads.withColumnRenamed("class", "low").alias("y"), "low")
-    star = star.where(_may_link("x", "y", percent)).groupBy("class").agg(F.min(F.struct(F.expr(_bits_apart("x", "y")).alias("d"), "low")).alias("m"))
-    done = compared(stored(star.select(F.col("m.low").alias("a"), F.col("class").alias("b")), "pairs"))
-    parts = stored(components(done.where("linked")), "components")
-
-    # Then what still crosses components in a bucket: the nearest partner of each class, at last all the rest.
-    for nearest_only in (True, False):
-        mixed = in_shared_buckets(_with_component(shared.select("class", "sig"), parts, "class", "part"), "part").drop("low")
-        mixed = mixed.join(heads, "class")
-        across = f"x.sig = y.sig AND x.class < y.class AND x.part <> y.part AND {_may_link('x', 'y', percent)}"
-        pairs = mixed.alias("x").join(mixed.alias("y"), F.expr(across))
-        pairs = pairs.selectExpr("x.class AS a", "y.class AS b", f"{_bits_apart('x', 'y')} AS d").distinct()
-        pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        if nearest_only:
+    # First the nearest of a few neighbours; then the nearest of all across components; at last all the rest.
+    done = parts = None
+    for reach, nearest in ((REACH, True), (None, True), (None, False)):
+        mixed = shared.withColumn("part", F.col("class")) if parts is None else in_shared_buckets(_with_component(shared, parts, "class", "part"), "part").drop("low")
+        pairs = _candidates(mixed.join(heads, "class"), percent, reach, nearest)
+        if nearest:
             pairs = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
-        fresh_pairs = stored(pairs.select("a", "b"), "pairs")
-        if fresh_pairs.isEmpty():
-            break
-        done = done.union(compared(fresh_pairs))
-        parts = stored(components(done.where("linked")), "components")
+        else:
+            pairs = pairs.select("a", "b").distinct()
+        pairs = stored(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        new = compared(pairs)
+        links = new.where("linked")
+        if parts is not None:
+            parts = _merged(parts, links)
+        elif nearest:
+            parts = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+        else:
+            parts = stored(components(links), "components")
+        done = new if done is None else done.union(new)
+    if parts is None:
+        parts = classes.select(F.col("class").alias("node"), F.col("class").alias("component"))
     labelled = _with_component(classes, parts, "class", "component_id")
     return (
         profiles.join(labelled.select("mark", "component_id"), "mark", "left")
@@ -325,7 +467,7 @@ def _with_marks(docs: DataFrame, size: int) -> DataFrame:
     @F.pandas_udf("binary")
     def mark(texts: pd.Series) -> pd.Series:
         hashes = WordHashes()
-        return pd.Series([hashlib.blake2b(shingle_set(t, hashes, size).tobytes(), digest_size=16).digest() for t in texts], dtype=object)
+        return pd.Series([_mark(shingle_set(t, hashes, size)) for t in texts], dtype=object)
 
     return docs.withColumn("mark", mark.asNondeterministic()("text"))
 
