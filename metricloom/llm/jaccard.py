@@ -40,9 +40,7 @@ ENTRY_ROWS = 200_000
 TILE = 1000
 REACH = 16
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_SPLIT = str.maketrans({c: " " for c in "\t\n\v\f\r"})
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -56,10 +54,10 @@ class WordHashes:
     """64-bit word hashes, remembered for frequent words; forgets all when it grows too large."""
 
     def __init__(self, limit: int = 400_000):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.limit = limit
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -69,20 +67,23 @@ class WordHashes:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased (A-Z only) words of a whole text."""
-    text = (text or "").translate(_SPLIT)
-    text = text.lower() if text.isascii() else text.translate(_LOWER)
-    return [w for w in text.split(" ") if w]
+    return [w.decode() for w in _word_bytes(text)]
+
+
+def _word_bytes(text: str | None) -> list[bytes]:
+    """The words in UTF-8: on bytes Python lowers A-Z and splits at the ASCII white space only."""
+    return (text or "").encode().lower().split()
 
 
 def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; shorter texts are one shingle, wordless ones none."""
-    words = words_of(text)
+    words = _word_bytes(text)
     if not words:
         return np.empty(0, np.uint64)
     h = hashes.of(words)
