@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words link with nothing, so all of them stay.
     """
-    return jaccard.drop_near_duplicates(docs, size=5, percent=80)
+    return jaccard.drop_near_duplicates(docs, size=5, percent=80, screen=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

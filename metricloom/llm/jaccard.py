@@ -15,6 +15,10 @@ the pairs across are judged by a parity sketch: two sets differ in at least as m
 sketches in bits, so a pair it rejects cannot link. Large buckets are cut into tiles, which tasks
 compare two by two. Only what the sketch lets pass is emitted and compared by text. No link between
 components is lost.
+
+The number of signatures of a set grows with the differences allowed. For lower thresholds a screen
+comes first: shingles of a fixed share of the domain are counted, and a set of which more are held by
+no other set than a partner may lack cannot link, so it needs no signatures.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ BLOCK_CHARS = 8_000_000
 ENTRY_ROWS = 200_000
 TILE = 1000
 REACH = 16
+SCREEN_SHARE = 1.25
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -242,23 +247,43 @@ def _candidates(mixed: DataFrame, percent: int, reach: int | None, nearest: bool
     return rows.mapInPandas(compare, "a long, b long, d long")
 
 
-def _profiles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, mark, short, wide) of each text's set."""
+def screened_share(percent: int) -> float:
+    """Share of the shingle domain that the screen counts: somewhat more than the share a partner may lack."""
+    return min(1.0, SCREEN_SHARE * (100 - percent) / 100)
+
 
-    @F.pandas_udf("n long, mark binary, short binary, wide binary")
+def _profiles(docs: DataFrame, size: int, share: float = 0.0) -> DataFrame:
+    """(doc_id, n_shingles, mark, short, wide, counted) of each text's set; ``counted`` are its shingles in that share of the domain."""
+    limit = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+
+    @F.pandas_udf("n long, mark binary, short binary, wide binary, counted array<long>")
     def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
-            n, marks, marked = [], [], []
+            n, marks, marked, counted = [], [], [], []
             for t in texts:
                 s = shingle_set(t, hashes, size)
                 n.append(len(s))
                 marks.append(_mark(s))
                 marked.append(sketches(s))
-            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "short": [x for x, _ in marked], "wide": [x for _, x in marked]})
+                counted.append(s[: np.searchsorted(s, limit)].view(np.int64))
+            yield pd.DataFrame({"n": pd.array(n, "int64"), "mark": marks, "short": [x for x, _ in marked], "wide": [x for _, x in marked], "counted": counted})
 
     p = docs.select("doc_id", profile.asNondeterministic()("text").alias("p"))
-    return p.select("doc_id", F.col("p.n").alias("n_shingles"), "p.mark", "p.short", "p.wide")
+    return p.select("doc_id", F.col("p.n").alias("n_shingles"), "p.mark", "p.short", "p.wide", "p.counted")
+
+
+def _screened(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id) of the classes that may have a partner.
+
+    A partner of a set of n shingles lacks at most (100 - ``percent``) % of them, so a set with more
+    counted shingles of its own than that has none. Copies have one mark and count as one set.
+    """
+    held = signed.select(F.explode("counted").alias("shingle"), F.xxhash64("mark").alias("key"))
+    held = held.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    own = held.where("key = last").groupBy("key").agg(F.count("*").alias("own"))
+    known = classes.withColumn("key", F.xxhash64("mark")).join(own, "key", "left")
+    return known.where(F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select(F.col("class").alias("doc_id"))
 
 
 def _mark(shingles: np.ndarray) -> bytes:
@@ -381,7 +406,7 @@ def _with_component(rows: DataFrame, parts: DataFrame, column: str, out: str) ->
     return rows.join(p, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, screen: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of the documents (``doc_id``, ``text``), one row per doc_id.
 
     Two documents link when 100 x shared shingles >= ``percent`` x all shingles of both. The
@@ -389,13 +414,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     blank) have no shingles and link with nothing. Repeated rows are one document; if a doc_id
     comes with several texts, the one with the most shingles (then the larger mark) stands for
     it. Rows without doc_id are left out. Shingles are compared by 64-bit hashes, sets by 128-bit
-    marks. Other columns of ``docs`` are not read.
+    marks. Other columns of ``docs`` are not read. ``screen`` changes the cost only: it pays where
+    signatures are many (about 0.8 and below) and most texts have no partner.
     """
     docs = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").alias("text")).where("doc_id IS NOT NULL")
-    signed = stored(_profiles(docs, size), "sets")
+    signed = stored(_profiles(docs, size, screened_share(percent) if screen else 0.0), "sets")
     profiles = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "mark")).alias("p"))
     profiles = stored(profiles.select("doc_id", "p.n_shingles", "p.mark"), "profiles")
-    classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class")), "classes")
+    classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class"), F.max("n_shingles").alias("n")), "classes")
 
     # Entries of all rows meet in their buckets; copies leave only afterwards, when few entries are left.
     by_signature = Window.partitionBy("sig")
@@ -404,7 +430,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         rows = rows.withColumns({"low": F.min(by).over(by_signature), "high": F.max(by).over(by_signature)})
         return rows.where("low < high").drop("high")
 
-    entries = in_shared_buckets(_entries(docs, size, percent), "class")
+    signing = docs.join(stored(_screened(signed, classes, percent), "screened"), "doc_id", "left_semi") if screen else docs
+    entries = in_shared_buckets(_entries(signing, size, percent), "class")
     met = stored(entries.select("class", "sig"), "met")
     shared = stored(in_shared_buckets(met.join(classes.select("class"), "class", "left_semi").distinct(), "class"), "shared-signatures")
 
@@ -414,7 +441,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     shared = stored(shared.select("class", "sig").join(same.select("sig", "size"), "sig"), "buckets")
 
     heads = signed.select(F.col("doc_id").alias("class"), "mark", F.col("n_shingles").alias("n"), "short", "wide")
-    heads = heads.join(classes, ["class", "mark"], "left_semi").drop("mark").dropDuplicates(["class"])
+    heads = heads.join(classes.select("class", "mark"), ["class", "mark"], "left_semi").drop("mark").dropDuplicates(["class"])
     heads = stored(heads.join(shared.select("class").distinct(), "class", "left_semi"), "sketches")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -446,7 +473,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         done = new if done is None else done.union(new)
     if parts is None:
         parts = classes.select(F.col("class").alias("node"), F.col("class").alias("component"))
-    labelled = _with_component(classes, parts, "class", "component_id")
+    labelled = _with_component(classes.select("mark", "class"), parts, "class", "component_id")
     return (
         profiles.join(labelled.select("mark", "component_id"), "mark", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -473,13 +500,13 @@ def _with_marks(docs: DataFrame, size: int) -> DataFrame:
     return docs.withColumn("mark", mark.asNondeterministic()("text"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, screen: bool = False) -> DataFrame:
     """``docs`` with one document of each component: the one whose doc_id names it; all columns stay.
 
     Rows without doc_id stay as they are; of repeated rows of a kept document one stays.
     """
     own = fresh(docs, "_kept")
-    found = near_duplicates(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias(own))
+    found = near_duplicates(docs, size, percent, screen).where("doc_id = component_id").select(F.col("doc_id").alias(own))
     named = docs.where(quoted("doc_id").isNotNull())
     kept = named.join(found, quoted("doc_id").cast("long") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(quoted("doc_id").isNull()))

@@ -44,15 +44,15 @@ def family(seed, copies, length, edits):
         yield " ".join(mine)
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_components(spark, size, percent):
+@pytest.mark.parametrize(("size", "percent", "screen"), [(3, 90, False), (3, 90, True), (5, 80, False), (5, 80, True)])
+def test_components(spark, size, percent, screen):
     texts = [t for s, (n, length, e) in enumerate([(60, 150, 6), (12, 12, 1), (8, 700, 40), (5, 4, 1)]) for t in family(s, n, length, e)]
     texts += [None, "", " \n", "One", "one", "ONE two", "Été a b", "été a b", texts[0], texts[0].upper(), "a b c " * 4000]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([*rows, rows[0], (None, "a b c")], "doc_id long, text string").withColumn("class", F.lit(1))
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, size, percent).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, size, percent, screen).collect()}
     assert found == brute_components(rows, size, percent)
-    kept = jaccard.drop_near_duplicates(df, size, percent)
+    kept = jaccard.drop_near_duplicates(df, size, percent, screen)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for _, c in found.values()})
     assert kept.where("doc_id IS NULL").count() == 1
@@ -64,6 +64,15 @@ def test_repeated_id_with_other_text(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_screen_keeps_what_may_link(spark):
+    texts = [*family(1, 3, 200, 2), *family(2, 0, 300, 1), *family(3, 0, 5, 1)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[4]])), "doc_id long, text string")
+    signed = jaccard._profiles(df, 5, jaccard.screened_share(80)).cache()
+    classes = signed.groupBy("mark").agg(F.min("doc_id").alias("class"), F.max("n_shingles").alias("n"))
+    found = {r["doc_id"] for r in jaccard._screened(signed, classes, 80).collect()}
+    assert {0, 1, 2, 3} <= found and 4 not in found
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_signatures_never_miss(percent):
     rng = np.random.default_rng(3)
