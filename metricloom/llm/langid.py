@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import quoted, stored
@@ -165,6 +165,11 @@ def train(texts: list[str], langs: list[str], family_of: Mapping[str, str] = FAM
     return model
 
 
+def _at_most(limits: Mapping[str, int]) -> Column:
+    """Whether ``rank`` is at most the limit of the row's ``lang``; false for other languages."""
+    return F.coalesce(*[F.when((F.col("lang") == x) & (F.col("rank") <= n), F.lit(True)) for x, n in limits.items()], F.lit(False))
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, family_of: Mapping[str, str] = FAMILY_OF) -> LanguageModel:
     """Train on at most ``sample_rows`` rows with a language, the same number of each where there are enough.
 
@@ -174,15 +179,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """
     usable = labelled.where(quoted(key).isNotNull() & quoted(text).isNotNull() & quoted(lang).isNotNull())
     usable = usable.select(F.xxhash64(quoted(key)).alias("rank"), quoted(lang).cast("string").alias("lang"), quoted(text).alias("text"))
-    known = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()]
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("rank").alias("n_ranks"))
+    known = {r["lang"]: r["n_ranks"] for r in counts.orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
     if not known:
         return LanguageModel(BITS, {})
     each = max(1, sample_rows // len(known))
+    # Hashes are spread evenly: the smallest ones lie below a bound with room for chance and for the error of
+    # the distinct count, so that no task ranks all rows of a language.
+    bounds = {x: min(1.0, (each + 8 * each**0.5 + 32) / (0.75 * max(1, n))) for x, n in known.items()}
+    bounds = {x: min(2**63 - 1, int(share * 2**64) - 2**63) for x, share in bounds.items()}
+    low = _at_most(bounds)
     order = Window.partitionBy("lang").orderBy("rank")
-    edge = usable.select("rank", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).groupBy("lang").agg(F.max("rank").alias("edge"))
-    edges = {r["lang"]: r["edge"] for r in edge.where(F.col("lang").isin(known)).collect()}
-    below = F.coalesce(*[F.when((F.col("lang") == x) & (F.col("rank") <= e), F.lit(True)) for x, e in edges.items()], F.lit(False))
-    sample = stored(usable.where(below), "language-sample")
+    edge = usable.select("rank", "lang").where(low).withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).groupBy("lang").agg(F.max("rank").alias("edge"))
+    edges = {r["lang"]: r["edge"] for r in edge.collect()}
+    sample = stored(usable.where(_at_most(edges)), "language-sample")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "lang", "text"])
