@@ -25,23 +25,35 @@ def boilerplate(
 ) -> DataFrame:
     """(host, marks): the MD5 marks of the lines on more than ``max_ratio`` of a host's pages.
 
+    Pages of one text are one page: copies make no line boilerplate, all null texts are one page too.
     A line counts once per page and at least on ``min_pages`` pages. Lines without a word are no
     boilerplate, rows without a host belong to no site. A host gets at most (its mean number of
     lines per page) / ``max_ratio`` marks, whatever its size. Counting combines before the shuffle,
-    so a host with a third of all pages is spread over its lines.
+    so a host with a third of all pages is spread over its lines. A line is on no more pages than rows,
+    so rows are counted first and the digests of texts only for the lines that this leaves.
     """
     named = pages.where(quoted(host).isNotNull()).select(quoted(host).alias("host"), quoted(text).alias("text"))
-    totals = named.groupBy("host").agg(F.count("*").alias("n_host"))
-    lines = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
-    counts = (
-        named.select("host", F.explode(lines).alias("line"))
+    page = F.coalesce(_mark(F.col("text")), F.lit(b""))
+    totals = stored(named.groupBy("host").agg(F.count_distinct(page).alias("n_host")), "boilerplate-pages")
+    often = (F.col("n_pages") >= min_pages) & (F.col("n_pages") > max_ratio * F.col("n_host"))
+    words = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
+    rows = (
+        named.select("host", F.explode(words).alias("line"))
         .groupBy("host", _mark(F.col("line")).alias("mark"))
         .agg(F.count("*").alias("n_pages"))
         .where(F.col("n_pages") >= min_pages)
     )
+    likely = stored(rows.join(totals, "host").where(often).select("host", "mark"), "boilerplate-likely")
+    counts = (
+        named.select("host", page.alias("page"), F.explode(words).alias("line"))
+        .select("host", "page", _mark(F.col("line")).alias("mark"))
+        .join(likely, ["host", "mark"], "left_semi")
+        .groupBy("host", "mark")
+        .agg(F.count_distinct("page").alias("n_pages"))
+    )
     return (
         counts.join(totals, "host")
-        .where(F.col("n_pages") > max_ratio * F.col("n_host"))
+        .where(often)
         .groupBy("host")
         .agg(F.sort_array(F.collect_list("mark")).alias("marks"))
     )
@@ -60,7 +72,7 @@ def drop_boilerplate(
     The list of marks is written first, so Spark broadcasts it when it is small and otherwise
     joins by host and splits hot hosts. ``report`` adds ``n_lines`` and ``n_dropped`` (both 0 for
     a null text, which stays null). An empty text is one empty line. A text that is all
-    boilerplate becomes empty. Repeated rows are pages of their own.
+    boilerplate becomes empty. Repeated texts are one page, and each row of them is cut alike.
     """
     marks = stored(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
     site, found = fresh(pages, "_site"), fresh(pages, "_marks")

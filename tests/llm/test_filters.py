@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from metricloom.llm import lines, mixing, quality
 
 ODD = [
@@ -95,6 +96,21 @@ def test_boilerplate(spark, odd):
     assert [r[0] for r in urls.select(lines.host_of(F.col("url"))).collect()] == ["a.b", None, None]
 
 
+def test_copies_are_one_page(spark):
+    """A group of exact copies above the ratio: one document keeps the text through both stages."""
+    copied = "\n".join(f"line {i} of a text that many rows hold word for word" for i in range(4))
+    rows = [(i, copied if i < 30 else f"menu\nstory {i} of its own with words of its own {i * 7}", "en", "s", 9) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.line_dedup(spark, docs, "")
+    texts = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert all(texts[i] == copied for i in range(30))
+    assert all(texts[i].startswith("story") for i in range(30, 100))  # the menu is on 70 of 71 pages
+    left = [r["text"] for r in corpus_pipeline.near_duplicates(spark, cleaned, "").collect()]
+    assert left.count(copied) == 1 and len(left) == 71 and "" not in left
+    few = spark.createDataFrame([(i, "copied" if i < 50 else "copied\nother", "s") for i in range(54)] + [(99, None, "s"), (98, None, "s")], "doc_id long, text string, source string")
+    assert lines.boilerplate(few, "source").count() == 0  # on two page texts of three, though on 54 rows
+
+
 def test_raking_meets_targets(spark):
     docs = spark.createDataFrame(
         [(i, "w " * (1 + i % 7), "ab"[i % 10 < 3], "xyz"[i % 3]) for i in range(3000)], "doc_id long, text string, source string, lang string"
