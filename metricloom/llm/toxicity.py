@@ -19,6 +19,7 @@ FACTORS = 8
 SAMPLE_ROWS = 12_000
 MIN_DOCUMENTS = 4
 MIN_Z = 4.0
+PAIR_Z = 6.0
 EPOCHS = 12
 STEMS = (4, 5)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -66,9 +67,43 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _z(have: np.ndarray, toxic: np.ndarray, positive: float, n: float) -> np.ndarray:
+    """Standard errors by which the share of each term differs between the ``positive`` toxic and the other rows of ``n``."""
+    share = have / n
+    gap = toxic / positive - (have - toxic) / (n - positive)
+    return np.abs(gap) / np.sqrt(np.maximum(share * (1 - share), 1 / n**2) * (1 / positive + 1 / (n - positive)))
+
+
+def _partners(kept: np.ndarray, number: np.ndarray, begin: np.ndarray, labels: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """``kept`` and those of ``enough`` rows that tell the classes apart among the rows of a kept term.
+
+    A term may be as frequent in both classes and yet matter next to another; a pair counts from ``MIN_DOCUMENTS`` rows.
+    """
+    size, place = int(enough.sum()), np.where(enough, np.cumsum(enough) - 1, -1)[number]
+    ok = place >= 0
+    owner, number = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[ok], place[ok]
+    begin = np.searchsorted(owner, np.arange(len(begin)))
+    first, by_term = np.r_[0, np.cumsum(np.bincount(number, minlength=size))], np.argsort(number, kind="stable")
+    alone = kept[enough]
+    added = alone.copy()
+    for u in np.flatnonzero(alone):
+        at = owner[by_term[first[u] : first[u + 1]]]
+        n, positive = len(at), float(labels[at].sum())
+        if not 0 < positive < n:
+            continue
+        toxic, clean = (np.bincount(np.concatenate([number[begin[i] : begin[i + 1]] for i in at[labels[at] == c]]), minlength=size) for c in (1, 0))
+        have = toxic + clean
+        new = np.flatnonzero(~added & (have >= MIN_DOCUMENTS) & (n - have >= MIN_DOCUMENTS))
+        added[new[_z(have[new], toxic[new], positive, n) >= PAIR_Z]] = True
+    out = kept.copy()
+    out[enough] = added
+    return out
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4, start: float = 1e-3) -> FactorizationMachine:
-    """Fit by AdaGrad on logistic loss, classes weighted equally; terms of fewer than ``MIN_DOCUMENTS`` rows, or
-    whose share differs between the classes by less than ``MIN_Z`` standard errors, stay out.
+    """Fit by AdaGrad on logistic loss, classes weighted equally; terms of fewer than ``MIN_DOCUMENTS`` rows stay out, and
+    so do those whose share differs between the classes by less than ``MIN_Z`` standard errors, unless it differs by
+    ``PAIR_Z`` among the rows of a term that is in.
 
     Deterministic for given rows in given order. Without both classes it is a constant: the smoothed share of label 1.
     """
@@ -81,10 +116,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     terms, number = np.unique(flat, return_inverse=True)
     have = np.bincount(number, minlength=len(terms))
     toxic = np.bincount(number, np.repeat(labels, [len(r) for r in rows]), len(terms))
-    share = have / n
-    gap = toxic / positive - (have - toxic) / (n - positive)
-    z = np.abs(gap) / np.sqrt(np.maximum(share * (1 - share), 1 / n**2) * (1 / positive + 1 / (n - positive)))
-    frequent = (have >= MIN_DOCUMENTS) & (z >= MIN_Z)
+    alone = (have >= MIN_DOCUMENTS) & (_z(have, toxic, positive, n) >= MIN_Z)
+    frequent = _partners(alone, number, np.r_[0, np.cumsum([len(r) for r in rows])], labels, have >= MIN_DOCUMENTS)
     if not frequent.any():
         return train(rows, np.zeros(n), factors)
     place = np.where(frequent, np.cumsum(frequent) - 1, -1)[number]

@@ -35,6 +35,22 @@ def test_interaction_is_learned():
     assert scores[0] > 0.8 and max(scores[1:]) < 0.3
 
 
+def test_neutral_partner_is_learned():
+    """Term 2 is as frequent in both classes: with 1 it is toxic, 3 is toxic without it. Settings are the registered ones."""
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(4000):
+        marked, neutral, first = rng.integers(0, 2, 3)
+        own = [x for x, on in ((1, marked and first), (2, neutral), (3, marked and not first)) if on]
+        rows.append(np.unique(np.array([*own, *rng.integers(10, 60, 8)], np.int32)))
+        labels.append(int(marked and neutral == first))
+    m = toxicity.train(rows, np.array(labels))
+    assert 2 in m.terms
+    toxic = [m.score(np.array(t, np.int32)) for t in ([1, 2, 12], [3, 12])]
+    clean = [m.score(np.array(t, np.int32)) for t in ([1, 12], [2, 3, 12], [2, 12], [12])]
+    assert min(toxic) > 0.8 and max(clean) < 0.3
+
+
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "12 34 !?"), (5, "idiot " * 50_000), (6, "\U0001f600"), (6, "\U0001f600"), (None, "the")]
 
 
