@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import ann, jaccard, langid, lines, mixing, pack_files, pack_search, quality, toxicity, warc
+from metricloom.llm import ann, fim, jaccard, langid, lines, mixing, negatives, pack_files, pack_search, quality, toxicity, warc
 from metricloom.llm.common import Registry, held_out, table
 
 REGISTRY = Registry()
@@ -200,3 +200,57 @@ def op10_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     found = mixing.mix(docs, mixing_dims(), report=True)
     return found.select("doc_id", F.round(F.col("mix_rate") + 3.7e-9, 6).alias("mix_rate"), "mix_kept")
+
+
+NEGATIVES_SQL = f"""
+WITH g AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS own, list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM g AS a JOIN g AS r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+    SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT own AND 100 * score BETWEEN {negatives.LOW_PERCENT} * positive_score AND {negatives.HIGH_PERCENT} * positive_score)
+WHERE rank <= {negatives.NEGATIVES}"""
+
+
+@REGISTRY.query(NEGATIVES_SQL)
+def op11_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, among all rows."""
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, relabel=relabel)
+
+
+FIM_SQL = rf"""
+WITH u AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('{fim.SEED}:' || doc_id) AS h
+    FROM documents),
+c AS (
+    SELECT *, len(units)::BIGINT AS n, [('0x' || h[1:8])::BIGINT % (len(units) + 1), ('0x' || h[9:16])::BIGINT % (len(units) + 1)] AS cuts,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= {fim.FIM_PERCENT} THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+    FROM u),
+p AS (
+    SELECT *, coalesce(array_to_string(units[1:list_min(cuts)], ''), '') AS prefix, coalesce(array_to_string(units[list_min(cuts) + 1:list_max(cuts)], ''), '') AS middle,
+           coalesce(array_to_string(units[list_max(cuts) + 1:], ''), '') AS suffix
+    FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+@REGISTRY.query(FIM_SQL)
+def op13_displaced_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and rebuilt from that."""
+    found = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"), digests=True)
+    return found.select("doc_id", "fim.*")
