@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import ann, fim, jaccard, langid, lines, mixing, negatives, pack_files, pack_search, quality, toxicity, warc
+from metricloom.llm import ann, descent, fim, jaccard, langid, lines, mixing, negatives, pack_files, pack_search, quality, toxicity, warc
 from metricloom.llm.common import Registry, held_out, table
 
 REGISTRY = Registry()
@@ -229,6 +229,26 @@ def op11_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, relabel=relabel)
 
 
+NEAR_VECTORS_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= {descent.THRESHOLD}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+@REGISTRY.query(NEAR_VECTORS_SQL)
+def op12_descent_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector under a cosine of 0.95."""
+    found = descent.near_duplicate_vectors(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 FIM_SQL = rf"""
 WITH u AS (
     SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('{fim.SEED}:' || doc_id) AS h
