@@ -45,7 +45,7 @@ ENTRY = "node long, near array<long>, sim array<float>"
 
 
 def directions(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): one row per id; ``v`` is null where a vector is null, empty, zero or holds a null or non-finite component.
+    """(vec_id, unit): one row per id; ``unit`` is null where a vector is null, empty, zero or holds a null or non-finite component.
 
     If an id comes with several vectors, the smallest usable one stands for it. Vectors are divided by their
     largest component, so that no square overflows, and by their length.
@@ -53,10 +53,19 @@ def directions(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     v = quoted(embedding).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1.7976931348623157e308)) | ~F.exists(v, lambda x: x != 0)
     rows = vectors.select(quoted(vec_id).cast("long").alias("vec_id"), F.when(~bad, v).alias("v")).where("vec_id IS NOT NULL")
+
+    @F.pandas_udf("array<double>")
+    def unit(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            if v is not None:
+                v = v / np.abs(v).max()
+                v = v / np.sqrt(v @ v)
+            out.append(v)
+        return pd.Series(out, index=vectors.index, dtype=object)
+
     one = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
-    length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    return one.withColumn("s", scaled).withColumn("length", length).select("vec_id", "v", F.transform("s", lambda x: x / F.col("length")).alias("unit"))
+    return one.select("vec_id", unit("v").alias("unit"))
 
 
 def _floats(cells: pd.Series) -> np.ndarray:
