@@ -9,11 +9,13 @@ similar enough therefore share a signature, with certainty. Spare groups make su
 share one that is not empty, so that sets do not meet for what both lack.
 
 Nothing emits all pairs of a bucket. Equal sets are one class from the start, and of buckets with the
-same classes one is kept. First each class meets only its neighbours in its buckets, and the nearest of
-them is compared by text; found links make components. In buckets that still hold several components
-the pairs across are judged by a parity sketch: two sets differ in at least as many elements as their
-sketches in bits, so a pair it rejects cannot link. Large buckets are cut into tiles, which tasks
-compare two by two. Only what the sketch lets pass is emitted and compared by text. No link between
+same classes one is kept. Pairs are judged by a parity sketch first: two sets differ in at least as many
+elements as their sketches in bits, so a pair it rejects cannot link. Each class meets only its neighbours in
+its largest bucket, then the nearest one of another component in any bucket; these are compared by text, and
+found links make components. What is left are buckets that still hold several components. There a task says
+which classes have a partner across components that the sketch lets pass; their whole sets are brought to
+the tile, and a second task tests across components with a union-find of its own and emits only links that join two, fewer
+than it has classes. Large buckets are cut into tiles, which tasks compare two by two. No link between
 components is lost.
 
 The number of signatures of a set grows with the differences allowed. For lower thresholds a screen
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import fresh, quoted, stored
@@ -42,6 +44,7 @@ WIDE_FROM = 400
 BLOCK_CHARS = 8_000_000
 ENTRY_ROWS = 200_000
 TILE = 1000
+TILE_ELEMENTS = 4_000_000
 REACH = 16
 SCREEN_SHARE = 1.25
 
@@ -180,71 +183,133 @@ def _bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
 
 
-def _bucket_pairs(rows: pd.DataFrame, percent: int, reach: int | None, nearest: bool) -> pd.DataFrame:
-    """(a, b, d) from rows of whole buckets, in order of their keys: pairs across parts that may link.
+def _near_pairs(keys: np.ndarray, part: np.ndarray, n: np.ndarray, tile: np.ndarray, short: np.ndarray, wide: np.ndarray, wide_at: np.ndarray, percent: int, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, d): places of pairs across parts that may link, in rows of whole buckets in order of their keys (sig, i, j).
 
     Rows are compared with those 1, 2, 3 ... places further on in the same bucket, all buckets at a time;
-    with ``reach`` only so far. ``nearest`` keeps the nearest smaller partner of each class.
+    with ``reach`` only so far. ``wide_at`` is -1 where a row has no wide sketch.
     """
-    keys = rows[["sig", "i", "j"]].to_numpy(np.int64)
-    ids, part, n, tile = (rows[c].to_numpy(np.int64) for c in ("class", "part", "n", "tile"))
-    short = np.frombuffer(b"".join(rows["short"]), np.uint64).reshape(-1, SKETCH_WORDS)
-    has_wide = np.array([w is not None for w in rows["wide"]], bool)
-    wide_at = np.cumsum(has_wide) - 1
-    wide = np.frombuffer(b"".join(w for w in rows["wide"] if w is not None), np.uint64).reshape(-1, WIDE_WORDS)
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
     ends = np.repeat(np.r_[starts[1:], len(keys)], np.diff(np.r_[starts, len(keys)]))
     split = keys[:, 1] != keys[:, 2]
-    found, at, step = [], np.arange(len(keys)), 1
+    at, step = np.arange(len(keys)), 1
     while True:
         at = at[at + step < ends[at]]
         if not len(at) or reach is not None and step > reach:
-            break
+            return
         x, y = at, at + step
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         fit = (part[x] != part[y]) & (100 * small >= percent * large) & (~split[x] | (tile[x] != tile[y]))
         x, y = x[fit], y[fit]
         most = (n[x] + n[y]) * (100 - percent)
         d = _bits_apart(short[x], short[y])
-        both = has_wide[x] & has_wide[y]
+        both = (wide_at[x] >= 0) & (wide_at[y] >= 0)
         d[both] = np.maximum(d[both], _bits_apart(wide[wide_at[x[both]]], wide[wide_at[y[both]]]))
         fit = d * (100 + percent) <= most
-        x, y = x[fit], y[fit]
-        found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), d[fit]]))
+        yield x[fit], y[fit], d[fit]
         step += 1
+
+
+def _columns(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Keys, parts, sizes, tiles and sketches of ``rows``, as :func:`_near_pairs` takes them."""
+    has_wide = np.array([w is not None for w in rows["wide"]], bool)
+    short = np.frombuffer(b"".join(rows["short"]), np.uint64).reshape(-1, SKETCH_WORDS)
+    wide = np.frombuffer(b"".join(w for w in rows["wide"] if w is not None), np.uint64).reshape(-1, WIDE_WORDS)
+    numbers = (rows[c].to_numpy(np.int64) for c in ("part", "n", "tile"))
+    return rows[["sig", "i", "j"]].to_numpy(np.int64), *numbers, short, wide, np.where(has_wide, np.cumsum(has_wide) - 1, -1)
+
+
+def _nearest(rows: pd.DataFrame, percent: int, reach: int | None) -> pd.DataFrame:
+    """(a, b, d): the nearest smaller partner of each class of another part."""
+    ids = rows["class"].to_numpy(np.int64)
+    found = [np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), d]) for x, y, d in _near_pairs(*_columns(rows), percent, reach)]
     a, b, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-    pairs = pd.DataFrame({"a": a, "b": b, "d": d})
-    if nearest:
-        return pairs.sort_values(["b", "d", "a"]).drop_duplicates("b")
-    return pairs.drop_duplicates(["a", "b"])
+    return pd.DataFrame({"a": a, "b": b, "d": d}).sort_values(["b", "d", "a"]).drop_duplicates("b")
 
 
-def _candidates(mixed: DataFrame, percent: int, reach: int | None, nearest: bool) -> DataFrame:
-    """(a, b, d) of the buckets in ``mixed`` (sig, class, part, size, n, short, wide).
+def _suspects(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(sig, i, j, class): those of ``rows`` that have a partner of another part that may link."""
+    marked = np.zeros(len(rows), bool)
+    for x, y, _ in _near_pairs(*_columns(rows), percent, None):
+        marked[x] = marked[y] = True
+    return rows.loc[marked, ["sig", "i", "j", "class"]]
 
-    A bucket of more than ``TILE`` classes is dealt into tiles; a key (sig, i, j) holds two of them.
-    With ``reach`` tiles are only compared within themselves.
-    """
-    tiles = F.ceil(F.col("size") / TILE).cast("long")
-    rows = mixed.withColumn("tile", F.pmod(F.xxhash64("class"), tiles))
-    other = F.array("tile") if reach is not None else F.sequence(F.lit(0).cast("long"), tiles - 1)
-    rows = rows.withColumn("other", F.explode(other))
-    rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "class", "part", "n", "short", "wide")
-    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "class")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+class Parts:
+    """A union-find over parts, by their numbers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, part: int) -> int:
+        while (above := self.up.get(part, part)) != part:
+            self.up[part] = self.up.get(above, above)
+            part = above
+        return part
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact test on two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(small) + len(large) - common)
+
+
+def _joining(rows: pd.DataFrame, percent: int, parts: Parts) -> pd.DataFrame:
+    """(a, b): links that join two parts; each joins the parts at once, so there are fewer than parts."""
+    sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
+    marks = [sketches(e) for e in sets]
+    rows = rows.assign(short=[m for m, _ in marks], wide=[m for _, m in marks], n=[len(e) for e in sets])
+    ids, part = (rows[c].to_numpy(np.int64) for c in ("class", "part"))
+    found = []
+    for x, y, _ in _near_pairs(*_columns(rows), percent, None):
+        for p, q in zip(x.tolist(), y.tolist()):
+            if parts.root(part[p]) != parts.root(part[q]) and linked(sets[p], sets[q], percent):
+                parts.join(part[p], part[q])
+                found.append((ids[p], ids[q]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on portions of whole buckets of ``rows``, which are dealt and ordered by (sig, i, j, n, class)."""
+    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "class")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, state = None, Parts()
         for batch in batches:
             if rest is not None:
                 batch = pd.concat([rest, batch], ignore_index=True)
             last = (batch[["sig", "i", "j"]] == batch[["sig", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
             rest = batch[last]
             if not last.all():
-                yield _bucket_pairs(batch[~last], percent, reach, nearest)
+                yield work(batch[~last], state)
         if rest is not None:
-            yield _bucket_pairs(rest, percent, reach, nearest)
+            yield work(rest, state)
+
+    return dealt.mapInPandas(run, schema)
 
-    return rows.mapInPandas(compare, "a long, b long, d long")
+
+def _tiled(mixed: DataFrame, within: bool = False) -> DataFrame:
+    """Rows of buckets (sig, class, part, size, weight, n, ...) with ``tile`` and the keys (i, j) of the pairs of tiles they are in.
+
+    A bucket of more than ``TILE`` classes or ``TILE_ELEMENTS`` elements is dealt into tiles. ``within`` leaves each tile to itself.
+    """
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("weight") / TILE_ELEMENTS)).cast("long")
+    rows = mixed.withColumn("tile", F.pmod(F.xxhash64("class"), tiles))
+    other = F.array("tile") if within else F.sequence(F.lit(0).cast("long"), tiles - 1)
+    rows = rows.withColumn("other", F.explode(other))
+    return rows.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other", "size", "weight")
+
+
+def _nearest_pairs(mixed: DataFrame, percent: int, reach: int | None = None) -> DataFrame:
+    """(a, b): the nearest smaller partner of each class across parts, over all its buckets."""
+    pairs = _by_bucket(_tiled(mixed, within=reach is not None), lambda rows, _: _nearest(rows, percent, reach), "a long, b long, d long")
+    return pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
 
 
 def screened_share(percent: int) -> float:
@@ -291,35 +356,48 @@ def _mark(shingles: np.ndarray) -> bytes:
 
 
 def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(class, sig): the signatures of all texts, made while they are read again, so that they are stored nowhere.
+    """(mark64, sig): the signatures of all sets.
 
-    Of equal sets in a batch only the smallest doc_id signs, so a large group of copies sends few
-    entries; the smallest doc_id of all copies always signs.
+    Of equal sets in a batch one signs for all, so a large group of copies sends few entries.
     """
 
+    def rows(marks: list[int], signed: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"mark64": np.repeat(np.array(marks, np.int64), [len(g) for g in signed]), "sig": np.concatenate(signed)})
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             seen: set[bytes] = set()
-            batch = batch.sort_values("doc_id")
-            ids, sigs, held = [], [], 0
-            for i, t in zip(batch["doc_id"], batch["text"]):
+            marks, signed, held = [], [], 0
+            for t in batch["text"]:
                 s = shingle_set(t, hashes, size)
                 mark = _mark(s)
                 if mark in seen:
                     continue
                 seen.add(mark)
-                g = signatures(s, percent)
-                ids.append(np.full(len(g), i, np.int64))
-                sigs.append(g.view(np.int64))
-                held += len(g)
+                marks.append(_short_mark(mark))
+                signed.append(signatures(s, percent).view(np.int64))
+                held += len(signed[-1])
                 if held > ENTRY_ROWS:
-                    yield pd.DataFrame({"class": np.concatenate(ids), "sig": np.concatenate(sigs)})
-                    ids, sigs, held = [], [], 0
+                    yield rows(marks, signed)
+                    marks, signed, held = [], [], 0
             if held:
-                yield pd.DataFrame({"class": np.concatenate(ids), "sig": np.concatenate(sigs)})
+                yield rows(marks, signed)
+
+    return docs.select("text").mapInPandas(sign, "mark64 long, sig long")
+
+
+def _short_mark(mark: bytes) -> int:
+    return int.from_bytes(mark[:8], "big", signed=True)
 
-    return docs.mapInPandas(sign, "class long, sig long")
+
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """Rows whose ``sig`` comes with several values of ``by``.
+
+    Found by an aggregate that combines before it shuffles and a semi-join, so a signature with very many rows meets in no single task.
+    """
+    several = rows.groupBy("sig").agg(F.min(by).alias("low"), F.max(by).alias("high")).where("low < high").select("sig")
+    return rows.join(stored(several, "shared-signatures"), "sig", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -336,13 +414,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     def test(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
         sets = {c: shingle_set(t, hashes, size) for c, t in zip(held["class"], held["text"])}
-        linked = np.zeros(len(rows), bool)
-        for k, (a, b) in enumerate(zip(rows["a"], rows["b"])):
-            small, large = sorted((sets[a], sets[b]), key=len)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[at] == small).sum())
-            linked[k] = 100 * common >= percent * (len(small) + len(large) - common)
-        return pd.DataFrame({"a": rows["a"], "b": rows["b"], "linked": linked})
+        found = [linked(sets[a], sets[b], percent) for a, b in zip(rows["a"], rows["b"])]
+        return pd.DataFrame({"a": rows["a"], "b": rows["b"], "linked": np.array(found, bool)})
 
     by_block = keyed.groupBy("i", "j").cogroup(needed.select(F.col("i").alias("p"), F.col("j").alias("q"), "class", "text").groupBy("p", "q"))
     return by_block.applyInPandas(test, "a long, b long, linked boolean")
@@ -423,56 +496,47 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     profiles = stored(profiles.select("doc_id", "p.n_shingles", "p.mark"), "profiles")
     classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class"), F.max("n_shingles").alias("n")), "classes")
 
-    # Entries of all rows meet in their buckets; copies leave only afterwards, when few entries are left.
-    by_signature = Window.partitionBy("sig")
-
-    def in_shared_buckets(rows: DataFrame, by: str) -> DataFrame:
-        rows = rows.withColumns({"low": F.min(by).over(by_signature), "high": F.max(by).over(by_signature)})
-        return rows.where("low < high").drop("high")
-
     signing = docs.join(stored(_screened(signed, classes, percent), "screened"), "doc_id", "left_semi") if screen else docs
-    entries = in_shared_buckets(_entries(signing, size, percent), "class")
-    met = stored(entries.select("class", "sig"), "met")
-    shared = stored(in_shared_buckets(met.join(classes.select("class"), "class", "left_semi").distinct(), "class"), "shared-signatures")
+    met = stored(_shared(stored(_entries(signing, size, percent), "entries"), "mark64"), "met")
+    # Should two sets have the same short mark, both take its signatures; the texts decide.
+    own = classes.select("class", "n", _as_long("mark").alias("mark64"))
+    met = stored(met.distinct().join(own, "mark64").select("class", "n", "sig"), "met")
 
     # A bucket with the classes of another one tells nothing new.
     content = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    same = shared.groupBy("sig").agg(F.count("*").alias("size"), *content).groupBy("size", "x0", "x1").agg(F.min("sig").alias("sig"))
-    shared = stored(shared.select("class", "sig").join(same.select("sig", "size"), "sig"), "buckets")
+    same = met.groupBy("sig").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), *content).where("size > 1")
+    same = same.groupBy("size", "weight", "x0", "x1").agg(F.min("sig").alias("sig"))
+    shared = stored(met.join(same.select("sig", "size", "weight"), "sig"), "buckets")
 
-    heads = signed.select(F.col("doc_id").alias("class"), "mark", F.col("n_shingles").alias("n"), "short", "wide")
+    heads = signed.select(F.col("doc_id").alias("class"), "mark", "short", "wide")
     heads = heads.join(classes.select("class", "mark"), ["class", "mark"], "left_semi").drop("mark").dropDuplicates(["class"])
     heads = stored(heads.join(shared.select("class").distinct(), "class", "left_semi"), "sketches")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
         wanted = stored(ids.join(classes, "class").select(F.col("class").alias("doc_id"), "mark"), "wanted")
-        texts = stored(_texts_of(docs, wanted, profiles, size), "texts")
-        return stored(_verified(pairs, texts, size, percent), "compared")
-
-    # First the nearest of a few neighbours; then the nearest of all across components; at last all the rest.
-    done = parts = None
-    for reach, nearest in ((REACH, True), (None, True), (None, False)):
-        mixed = shared.withColumn("part", F.col("class")) if parts is None else in_shared_buckets(_with_component(shared, parts, "class", "part"), "part").drop("low")
-        pairs = _candidates(mixed.join(heads, "class"), percent, reach, nearest)
-        if nearest:
-            pairs = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
-        else:
-            pairs = pairs.select("a", "b").distinct()
-        pairs = stored(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        new = compared(pairs)
-        links = new.where("linked")
-        if parts is not None:
-            parts = _merged(parts, links)
-        elif nearest:
-            parts = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-        else:
-            parts = stored(components(links), "components")
-        done = new if done is None else done.union(new)
-    if parts is None:
-        parts = classes.select(F.col("class").alias("node"), F.col("class").alias("component"))
+        return stored(_texts_of(docs, wanted, profiles, size), "texts")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        return stored(_verified(pairs, texts_of(ids), size, percent).where("linked").select("a", "b"), "links")
+
+    def mixed(parts: DataFrame) -> DataFrame:
+        return _shared(_with_component(shared, parts, "class", "part"), "part")
+
+    # First some neighbours in the largest bucket of each class; then the nearest across components; at last all the rest.
+    home = shared.groupBy("class").agg(F.max(F.struct("size", "sig")).alias("h")).select("class", "h.sig")
+    home = shared.join(home, ["class", "sig"]).withColumn("part", F.col("class"))
+    links = links_of(_nearest_pairs(home.join(heads, "class"), percent, REACH))
+    parts = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    parts = _merged(parts, links_of(_nearest_pairs(mixed(parts).join(heads, "class"), percent)))
+
+    tiled = _tiled(mixed(parts).join(heads, "class"))
+    place = ["sig", "i", "j", "class"]
+    suspects = stored(_by_bucket(tiled, lambda rows, _: _suspects(rows, percent), "sig long, i long, j long, class long"), "suspects")
+    sets = stored(_sets_of(texts_of(suspects.select("class").distinct()), size), "suspect-sets")
+    rest = tiled.select(*place, "tile", "part", "n").join(suspects, place, "left_semi").join(sets, "class")
+    parts = _merged(parts, stored(_by_bucket(rest, lambda rows, state: _joining(rows, percent, state), "a long, b long"), "links"))
     labelled = _with_component(classes.select("mark", "class"), parts, "class", "component_id")
     return (
         profiles.join(labelled.select("mark", "component_id"), "mark", "left")
@@ -491,6 +555,22 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, profiles: DataFrame, size: int
     return found.select(F.col("doc_id").alias("class"), "text")
 
 
+def _sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """(class, elements): the sorted shingle hashes of each text, in bytes."""
+
+    @F.pandas_udf("binary")
+    def elements(texts: pd.Series) -> pd.Series:
+        hashes = WordHashes()
+        return pd.Series([shingle_set(t, hashes, size).tobytes() for t in texts], index=texts.index, dtype=object)
+
+    return texts.select("class", elements.asNondeterministic()("text").alias("elements"))
+
+
+def _as_long(mark: str):
+    """The first eight bytes of a mark as a number, as :func:`_short_mark` gives them."""
+    return F.conv(F.hex(F.substring(mark, 1, 8)), 16, -10).cast("long")
+
+
 def _with_marks(docs: DataFrame, size: int) -> DataFrame:
     @F.pandas_udf("binary")
     def mark(texts: pd.Series) -> pd.Series:

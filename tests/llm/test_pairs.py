@@ -64,6 +64,27 @@ def test_repeated_id_with_other_text(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("screen", [False, True])
+def test_repeated_id_does_not_silence_others(spark, screen):
+    """Id 1 holds the text of 2 and a longer one, which stands for it; 2 still meets its near copy 3."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, " ".join(f"x{i}" for i in range(90))), (2, text), (3, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df, screen=screen).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_links_are_decided_in_tiles(spark, monkeypatch):
+    """Small tiles, no neighbours looked at first: groups that link only in the last step come out whole, and nothing else does."""
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    monkeypatch.setattr(jaccard, "_nearest_pairs", lambda mixed, percent, reach=None: mixed.limit(0).selectExpr("class AS a", "class AS b"))
+    texts = [t for s, (n, length, e) in enumerate([(40, 150, 9), (30, 60, 5), (3, 400, 30)]) for t in family(s, n, length, e)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((3, 90), (5, 80)):
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, size, percent).collect()}
+        assert found == brute_components(rows, size, percent)
+
+
 def test_screen_keeps_what_may_link(spark):
     texts = [*family(1, 3, 200, 2), *family(2, 0, 300, 1), *family(3, 0, 5, 1)]
     df = spark.createDataFrame(list(enumerate([*texts, texts[4]])), "doc_id long, text string")
