@@ -1,12 +1,20 @@
-"""Bin packing of one group of pieces: best-fit-decreasing with a segment tree, and a swap-based local search."""
+"""Bin packing of one group of pieces: a swap-based local search, and best-fit-decreasing with a segment tree.
+
+The search starts from pieces as they come and empties bins; best-fit-decreasing is what it is measured by.
+"""
 
 from __future__ import annotations
 
-import bisect
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 
+SIZES = 8
+PASSES = 2
+#: Shortest pieces of a bin that pairs are formed of.
+WIDTH = 6
+
 
 class FreeSpace:
     """Segment tree over free capacities: which number of open bins has exactly, or at least, that much room.
@@ -61,95 +69,144 @@ def best_fit_decreasing(lengths: Sequence[int], capacity: int) -> np.ndarray:
     return bin_of
 
 
+def next_fit(lengths: Sequence[int], capacity: int, order: Sequence[int]) -> np.ndarray:
+    """Bin of each piece; in ``order``, each into the last bin or a new one."""
+    n, bin_of = np.asarray(lengths).tolist(), np.zeros(len(lengths), np.int64)
+    number, fill = -1, capacity
+    for i in order:
+        if fill + n[i] > capacity:
+            number, fill = number + 1, 0
+        bin_of[i] = number
+        fill += n[i]
+    return bin_of
+
+
+def pack(lengths: Sequence[int], capacity: int, seed: int = 1, done: Counter | None = None) -> np.ndarray:
+    """Bin of each piece: the local search from next fit in shuffled order, or best-fit-decreasing where that takes fewer bins."""
+    n = np.asarray(lengths)
+    searched = improve(n, next_fit(n, capacity, np.random.default_rng(seed).permutation(len(n)).tolist()), capacity, done=done)
+    fitted = best_fit_decreasing(n, capacity)
+    return fitted if len(np.unique(fitted)) < len(np.unique(searched)) else searched
+
+
 class _Bins:
-    """Bins with their pieces and fills; ``under`` are those not full at the start."""
+    """Bins with their pieces, and an index of what underfull bins can take in.
+
+    A bin takes a piece into its room, or in exchange for one or two of its pieces into what they and the room
+    make up. ``offers[s]`` holds (size of what leaves, bin, pieces that leave) for places of size s; ``mask`` has the bit of
+    every size with an offer, so the next one from a size on is a bit operation.
+    """
 
     def __init__(self, lengths: np.ndarray, bin_of: np.ndarray, capacity: int):
-        self.n, self.bin_of, self.capacity = lengths.tolist(), bin_of, capacity
+        self.n, self.bin_of, self.capacity = lengths.tolist(), bin_of.tolist(), capacity
         self.items: dict[int, list[int]] = {}
-        for i, b in enumerate(bin_of.tolist()):
+        for i, b in enumerate(self.bin_of):
             self.items.setdefault(b, []).append(i)
-        self.fill = {b: sum(self.n[i] for i in v) for b, v in self.items.items()}
-        self.under = {b for b, f in self.fill.items() if f < capacity}
+        self.free = {b: capacity - sum(self.n[i] for i in v) for b, v in self.items.items()}
+        self.offers: list[set[tuple[int, int, tuple[int, ...]]]] = [set() for _ in range(capacity + 1)]
+        self.mask = 0
+        for b, free in self.free.items():
+            if free:
+                self.show(b)
+
+    def _offers_of(self, b: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        n, mine = self.n, sorted(self.items[b], key=lambda i: (self.n[i], i))
+        few = mine[:WIDTH]
+        singles = [(n[i], b, (i,)) for i in mine]
+        return [(0, b, ()), *singles, *((n[i] + n[j], b, (i, j)) for k, i in enumerate(few) for j in few[k + 1 :])]
+
+    def show(self, b: int) -> None:
+        """Offer what an underfull bin can take in."""
+        if (free := self.free[b]) and self.items[b]:
+            for offer in self._offers_of(b):
+                self.offers[offer[0] + free].add(offer)
+                self.mask |= 1 << (offer[0] + free)
+
+    def hide(self, b: int) -> None:
+        if (free := self.free[b]) and self.items[b]:
+            for offer in self._offers_of(b):
+                at = offer[0] + free
+                self.offers[at].discard(offer)
+                if not self.offers[at]:
+                    self.mask &= ~(1 << at)
+
+    def place(self, size: int, sizes: int) -> tuple[int, int, tuple[int, ...]] | None:
+        """(size that leaves, bin, pieces) of the offer that gains most among the ``sizes`` tightest places for ``size``."""
+        above, best = self.mask >> size, None
+        while above and sizes:
+            step = (above & -above).bit_length() - 1
+            offer = min(self.offers[size + step])
+            if offer[0] < size and (best is None or offer[0] < best[0]):
+                best = offer
+            above ^= 1 << step
+            sizes -= 1
+        return best
 
     def move(self, i: int, to: int) -> None:
-        b, n = int(self.bin_of[i]), self.n[i]
+        b, n = self.bin_of[i], self.n[i]
         self.items[b].remove(i)
         self.items[to].append(i)
-        self.fill[b] -= n
-        self.fill[to] += n
+        self.free[b] += n
+        self.free[to] -= n
         self.bin_of[i] = to
 
 
-def improve(lengths: Sequence[int], bin_of: np.ndarray, capacity: int, rounds: int = 40, patience: int = 8) -> np.ndarray:
+def improve(lengths: Sequence[int], bin_of: np.ndarray, capacity: int, sizes: int = SIZES, passes: int = PASSES, done: Counter | None = None) -> np.ndarray:
     """Move and exchange pieces between underfull bins while the sum of squared fills grows.
 
-    The emptiest bin is the victim. Its pieces go into other bins by moves, by one-for-one exchange
-    (a longer piece of the victim for a shorter one elsewhere fills that bin further) and by
+    Bins take their turn as victims, the emptiest first. A victim's pieces go into other bins by moves, by
+    one-for-one exchange (a longer piece of the victim for a shorter one elsewhere fills that bin further) and by
     two-for-one exchange (one longer piece of the victim for two shorter ones, and two of the victim
-    for a shorter one elsewhere). Each step makes some other, fuller bin fuller still, so the sum of
-    squares grows; a victim that runs empty is gone, one that resists is set aside. The search ends
-    at the fewest bins the tokens allow, or after ``patience`` victims that resisted.
+    for a shorter one elsewhere). Each step makes the sum of squares grow; a victim that runs empty is
+    gone. The search ends at the fewest bins the tokens allow, after a pass that emptied none, or after
+    ``passes``. Of the places a piece may take, the ``sizes`` tightest are looked at. ``done`` counts
+    the steps by kind.
     """
     lengths = np.asarray(lengths)
-    total, opened = int(lengths.sum()), len(np.unique(bin_of))
-    bins = _Bins(lengths, bin_of.copy(), capacity)
-    stuck: set[int] = set()
-    while opened > -(-total // capacity):  # fewer bins than the tokens need there cannot be
-        open_bins = [b for b in bins.under if bins.items[b] and bins.fill[b] < capacity and b not in stuck]
-        if len(open_bins) < 2 or len(stuck) >= patience:
-            break
-        victim = min(open_bins, key=lambda b: (bins.fill[b], b))
-        for _ in range(rounds):
-            if not bins.items[victim] or not _step(bins, victim):
+    done = Counter() if done is None else done
+    least, opened = -(-int(lengths.sum()) // capacity), len(np.unique(bin_of))  # fewer bins than the tokens need there cannot be
+    bins = _Bins(lengths, np.asarray(bin_of), capacity)
+    for _ in range(passes):
+        before = opened
+        for victim in sorted((b for b, free in bins.free.items() if free and bins.items[b]), key=lambda b: (-bins.free[b], b)):
+            if opened <= least:
                 break
-        if bins.items[victim]:
-            stuck.add(victim)
-        else:
-            bins.under.discard(victim)
-            opened -= 1
-    used, compact = np.unique(bins.bin_of, return_inverse=True)
+            if not bins.items[victim]:
+                continue
+            bins.hide(victim)
+            _empty(bins, victim, sizes, done)
+            bins.show(victim)
+            if not bins.items[victim]:
+                opened -= 1
+                done["emptied"] += 1
+        if opened in (before, least):
+            break
+    _, compact = np.unique(bins.bin_of, return_inverse=True)
     return compact.astype(np.int64)
 
 
-def _step(bins: _Bins, victim: int) -> bool:
-    """One pass over the other underfull bins, fullest first; whether anything moved."""
-    changed, n = False, bins.n
-    others = sorted((b for b in bins.under if b != victim and bins.items[b] and bins.fill[b] < bins.capacity), key=lambda b: -bins.fill[b])
-    for b in others:
-        mine = sorted(bins.items[victim], key=lambda i: -n[i])
-        if not mine:
-            break
-        room = bins.capacity - bins.fill[b]
-        if n[mine[-1]] <= room:  # move: the longest that fits
-            bins.move(next(i for i in mine if n[i] <= room), b)
-            changed = True
-            continue
-        best, gain = None, 0
-        theirs = sorted(bins.items[b], key=lambda i: n[i])
-        if bins.fill[b] < bins.fill[victim]:
-            continue
-        values = [n[i] for i in theirs]
-        for i in mine:
-            # one for one: the shortest of theirs that still leaves room for mine
-            at = bisect.bisect_left(values, n[i] - room)
-            if at < len(theirs) and 0 < n[i] - values[at] and n[i] - values[at] > gain:
-                best, gain = ((i,), (theirs[at],)), n[i] - values[at]
-            # one of mine for two of theirs
-            for x in range(len(theirs) - 1):
-                at = bisect.bisect_left(values, n[i] - room - values[x], x + 1)
-                if at < len(theirs) and n[i] - values[x] - values[at] > gain:
-                    best, gain = ((i,), (theirs[x], theirs[at])), n[i] - values[x] - values[at]
-        for x in range(len(mine) - 1):
-            for y in range(x + 1, min(len(mine), x + 40)):
-                # two of mine for one of theirs
-                at = bisect.bisect_left(values, n[mine[x]] + n[mine[y]] - room)
-                if at < len(theirs) and n[mine[x]] + n[mine[y]] - values[at] > gain:
-                    best, gain = ((mine[x], mine[y]), (theirs[at],)), n[mine[x]] + n[mine[y]] - values[at]
-        if best:
-            for i in best[0]:
-                bins.move(i, b)
-            for i in best[1]:
-                bins.move(i, victim)
-            changed = True
-    return changed
+def _empty(bins: _Bins, victim: int, sizes: int, done: Counter) -> None:
+    """Take steps until the victim is empty or none helps."""
+    n = bins.n
+    while mine := sorted(bins.items[victim], key=lambda i: (-n[i], i)):
+        best, given = (0, None), ()
+        few = mine[:WIDTH]
+        for choice in (*((i,) for i in mine), *((i, j) for k, i in enumerate(few) for j in few[k + 1 :])):
+            size = sum(n[i] for i in choice)
+            if size > bins.capacity or (offer := bins.place(size, sizes)) is None or len(choice) > 1 and not offer[2]:
+                continue
+            b = offer[1]
+            if (gain := size - offer[0]) > max(best[0], bins.free[b] - bins.free[victim]) and len(offer[2]) * len(choice) <= 2:
+                best, given = (gain, offer), choice
+                if not offer[2]:
+                    break  # moves first, the longest piece first
+        if not given:
+            return
+        _, b, taken = best[1]
+        bins.hide(b)
+        for i in given:
+            bins.move(i, b)
+        for i in taken:
+            bins.move(i, victim)
+        bins.show(b)
+        done[f"{len(given)} for {len(taken)}" if taken else "move"] += 1

@@ -1,4 +1,4 @@
-"""Best-fit packing with a swap-based local search, over groups of pieces of bounded size."""
+"""Packing by a swap-based local search, over groups of pieces of bounded size."""
 
 from __future__ import annotations
 
@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import quoted, stored
-from metricloom.llm.local_search import best_fit_decreasing, improve
+from metricloom.llm import local_search
 from metricloom.llm.tokens import CAPACITY, VOCABULARY, pieces
 
-GROUP_PIECES = 40_000
+GROUP_PIECES = 16_000
 SEQUENCES_OF_GROUP = 1 << 20
 
 
 def pack_pieces(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``cut`` (key, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt by a hash into groups of about ``group_pieces``; each group is packed best-fit-decreasing, then improved by the local search. A group
-    ends with one or two sequences that are not full, so a larger group wastes less. Rows, also equal
+    Pieces are dealt by a hash into groups of about ``group_pieces``; each group is packed by local search from next fit in shuffled order, or
+    best-fit-decreasing where that takes fewer sequences. A group ends with one or two sequences that are not full, so a larger group wastes less. Rows, also equal
     ones, are pieces of their own.
     """
     key_type = cut.schema[key].dataType.simpleString()
@@ -31,7 +31,7 @@ def pack_pieces(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, g
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "_key", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True])
         n = rows["length"].to_numpy()
-        bin_of = improve(n, best_fit_decreasing(n, capacity), capacity)
+        bin_of = local_search.pack(n, capacity)
         order = np.argsort(bin_of, kind="stable")
         ends = np.cumsum(n[order])
         first = np.flatnonzero(np.r_[True, bin_of[order][1:] != bin_of[order][:-1]])
