@@ -160,24 +160,32 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     return FactorizationMachine(float(b), terms.astype(np.int32), w, v)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Train on at most ``sample_rows`` labelled rows, the ones with the smallest hash of their key.
 
-    Terms are hashed on the executors. The sample, of a bounded number of rows, is trained on in one
-    task, and the model (frequent terms of the sample only) comes back to the driver. Rows with a null
-    key, label or text are not used.
+    Labels are a column of ``docs``, or of ``labels`` under the same key. The bound on the hash is found from keys alone,
+    and it filters both tables before they meet: no text above it is moved or looked at. Terms are hashed on the executors. The sample, of
+    a bounded number of rows, is trained on in one task, and the model (frequent terms of the sample only) comes back
+    to the driver. Rows with a null key, label or text are not used, repeated ones (same key, label and terms) count once; of a key
+    with very many texts no more than fit are taken.
     """
-    chosen = labelled.where(quoted(key).isNotNull() & quoted(label).isNotNull() & quoted(text).isNotNull())
+    rank = F.xxhash64("key")
+    labelled = docs if labels is None else labels
+    truth = labelled.select(quoted(key).alias("key"), quoted(label).cast("double").alias("label"), *([quoted(text).alias("text")] if labels is None else []))
+    truth = truth.where("key IS NOT NULL AND label IS NOT NULL")
+    texts = docs.select(quoted(key).alias("key"), quoted(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    named = truth.where("text IS NOT NULL").select("key") if labels is None else texts.select("key").join(truth.select("key"), "key")
+    limit = named.select(rank.alias("rank")).orderBy("rank").limit(sample_rows).agg(F.max("rank")).first()[0]
+    low = rank <= F.lit(limit)
+    chosen = truth.where("text IS NOT NULL").where(low) if labels is None else texts.where(low).join(truth.where(low), "key")
 
     @F.pandas_udf("array<int>")
     def terms_of(texts: pd.Series) -> pd.Series:
         terms = Terms()
         return pd.Series([terms.of(t) for t in texts], index=texts.index)
 
-    rank = F.xxhash64(quoted(key))
-    hashed = chosen.select(rank.alias("rank"), quoted(label).cast("double").alias("label"), terms_of.asNondeterministic()(quoted(text)).alias("terms"))
-    limit = chosen.select(rank.alias("rank")).orderBy("rank").limit(sample_rows).agg(F.max("rank")).first()[0]
-    sample = stored(hashed.where(F.col("rank") <= F.lit(limit)), "toxicity-sample")
+    hashed = chosen.select(rank.alias("rank"), "label", terms_of.asNondeterministic()("text").alias("terms")).distinct()
+    sample = stored(hashed.orderBy("rank", "label", F.size("terms"), "terms").limit(sample_rows), "toxicity-sample")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(size=rows["terms"].map(len)).sort_values(["rank", "label", "size"], kind="stable")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metricloom.llm import pack_files, pack_search, tokens, warc
 from metricloom.llm.common import open_folder
-from metricloom.llm.local_search import best_fit_decreasing, improve
+from metricloom.llm.local_search import best_fit_decreasing, improve, next_fit, pack
 
 DOCS = [(1, None), (2, ""), (3, "short"), (3, "short"), (None, "no id"), (4, "lorem ipsum été <|endoftext|> " * 900), (5, "x" * 3000), *[(i, "word " * (i * 7 % 900)) for i in range(6, 60)]]
 
@@ -109,6 +109,18 @@ def test_exchange_empties_a_bin():
     assert improve(lengths, np.array([0, 1, 2, 1, 2]), 10).max() == 1  # from 6 | 4+3 | 4+3
 
 
+def test_search_alone_comes_near_the_bound():
+    """From next fit, without best fit: moves and both kinds of exchange take it within 1.5 % of the fewest sequences there can be."""
+    rng = np.random.default_rng(2)
+    n = np.where(rng.random(15_000) < 0.35, 1024, 5 + (1018 * rng.beta(1.4, 1.8, 15_000)).astype(int))  # as the lengths of documents
+    first, done = next_fit(n, 1024, rng.permutation(len(n)).tolist()), Counter()
+    found, least = improve(n, first, 1024, done=done), -(-int(n.sum()) // 1024)
+    assert np.bincount(found, n).max() <= 1024
+    assert len(np.unique(found)) <= 1.015 * least < 1.1 * least < len(np.unique(first))
+    assert all(done[step] for step in ("move", "1 for 1", "1 for 2", "2 for 1"))
+    assert len(np.unique(pack(n, 1024))) <= len(np.unique(best_fit_decreasing(n, 1024)))
+
+
 PAGES = [
     (1, "http://b.example.com/x y", "<p>" + "same " * 40), (2, "http://a.example.com/?q=é\n", "<p>" + "same " * 40), (3, None, None), (4, "", ""),
     (5, "nonsense", "short"), (6, "http://b.example.com/x y", "short"), (None, "http://c.org", "<p>" + "same " * 40), (1, "http://b.example.com/x y", "<p>" + "same " * 40),

@@ -87,3 +87,30 @@ def test_stretches_lose_no_gram(monkeypatch):
     whole = langid.gram_counts(text)
     monkeypatch.setattr(langid, "CHUNK", 37)
     assert (langid.gram_counts(text) == whole).all()
+
+
+def test_score_is_the_written_out_sum():
+    """Bias, weights and every pair's product of factors, one pair at a time."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))).astype(np.int32) for _ in range(600)]
+    m = toxicity.train(rows, np.array([int(3 in r and 5 in r or 7 in r) for r in rows]))
+    assert len(m.terms) > 2
+    place = {int(t): i for i, t in enumerate(m.terms)}
+    for r in rows[:100]:
+        known = [place[int(t)] for t in r if int(t) in place]
+        z = m.bias + sum(float(m.weights[i]) for i in known)
+        z += sum(float(m.factors[i, f]) * float(m.factors[j, f]) for k, i in enumerate(known) for j in known[:k] for f in range(m.factors.shape[1]))
+        assert m.score(r) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_training_rows(spark):
+    """Labels beside or among the documents give one model; repeated rows count once, and one id with many texts stays within the bound."""
+    rows = [(i, f"insult{i % 2} word{i % 7} more", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, c) for i, _, c in rows] + [(5, 1)] * 50 + [(900, 1), (6, None)], "doc_id long, label int")
+    beside = toxicity.fit(docs, labels)
+    among = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    terms = np.empty(0, np.int32)
+    assert beside.bias == among.bias and (beside.weights == among.weights).all() and beside.score(terms) == among.score(terms)
+    crowd = spark.createDataFrame([(1, f"text {i}", i % 2) for i in range(500)], "doc_id long, text string, label int")
+    assert 0 <= toxicity.fit(crowd, sample_rows=20).score(terms) <= 1
