@@ -264,7 +264,9 @@ def _joining(rows: pd.DataFrame, percent: int, parts: Parts) -> pd.DataFrame:
     """(a, b): links that join two parts; each joins the parts at once, so there are fewer than parts."""
     sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
     marks = [sketches(e) for e in sets]
-    rows = rows.assign(short=[m for m, _ in marks], wide=[m for _, m in marks], n=[len(e) for e in sets])
+    columns = {"short": [m for m, _ in marks], "wide": [m for _, m in marks], "n": [len(e) for e in sets], "tile": 0}
+    bucket = rows.groupby(["sig", "i", "j"], sort=False).ngroup()
+    rows = rows.assign(**columns, sig=bucket, i=0, j=0)  # all pairs of a group, whatever tiles its classes came from
     ids, part = (rows[c].to_numpy(np.int64) for c in ("class", "part"))
     found = []
     for x, y, _ in _near_pairs(*_columns(rows), percent, None):
@@ -276,8 +278,8 @@ def _joining(rows: pd.DataFrame, percent: int, parts: Parts) -> pd.DataFrame:
 
 
 def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` on portions of whole buckets of ``rows``, which are dealt and ordered by (sig, i, j, n, class)."""
-    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "class")
+    """``work`` on portions of whole buckets of ``rows``, which are dealt and ordered by (sig, i, j) and then size."""
+    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", *(c for c in ("n", "class") if c in rows.columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, state = None, Parts()
@@ -531,11 +533,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     parts = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
     parts = _merged(parts, links_of(_nearest_pairs(mixed(parts).join(heads, "class"), percent)))
 
-    tiled = _tiled(mixed(parts).join(heads, "class"))
-    place = ["sig", "i", "j", "class"]
-    suspects = stored(_by_bucket(tiled, lambda rows, _: _suspects(rows, percent), "sig long, i long, j long, class long"), "suspects")
+    mixed_tiles = _tiled(mixed(parts).join(heads, "class"))
+    suspects = stored(_by_bucket(mixed_tiles, lambda rows, _: _suspects(rows, percent), "sig long, i long, j long, class long"), "suspects")
+    # Whole sets go once to those that have the same suspects, however many signatures they share.
+    groups = suspects.groupBy("sig", "i", "j").agg(F.count("*").alias("size"), *content)
+    groups = groups.groupBy("size", "x0", "x1").agg(F.min(F.struct("sig", "i", "j")).alias("g")).select("g.*")
     sets = stored(_sets_of(texts_of(suspects.select("class").distinct()), size), "suspect-sets")
-    rest = tiled.select(*place, "tile", "part", "n").join(suspects, place, "left_semi").join(sets, "class")
+    rest = _with_component(suspects.join(groups, ["sig", "i", "j"], "left_semi"), parts, "class", "part").join(sets, "class")
     parts = _merged(parts, stored(_by_bucket(rest, lambda rows, state: _joining(rows, percent, state), "a long, b long"), "links"))
     labelled = _with_component(classes.select("mark", "class"), parts, "class", "component_id")
     return (
