@@ -145,12 +145,72 @@ def message_status(spark, folder):
 
 
 @query(
-    """SELECT '{"msg_type": "metric", "value": ' || event_id AS raw FROM events WHERE event_type = 'view'"""
+    """SELECT '{"msg_type": "metric", "value": ' || event_id AS raw, 'not JSON' AS reason FROM events WHERE event_type = 'view'"""
 )
 def message_quarantine(spark, folder):
     return M.quarantine(M.decode(_messages(tables.table(spark, folder, "events"))))
 
 
+#: What becomes of an event by its number modulo the length of this list: a JSON text, its kind and how it is accounted for.
+_SHAPES = [
+    ('{"msg_type":"metric","name":"loss","step":STEP,"value":1}', "metric", "taken"),
+    ('{"name":"loss","step":STEP,"value":"high"}', "metric", "taken"),
+    ('{"msg_type":"metric","step":STEP,"value":1}', "metric", "no name or step"),
+    ('{"msg_type":"metric","name":"loss","step":STEP,"value":1,"metric_type":"odd"}', "metric", "unknown metric type"),
+    ('{"msg_type":"tensor","name":"w","step":STEP,"data":[[1,NaN],[2.5,STEP]]}', "tensor", "taken"),
+    ('{"msg_type":"tensor","name":"w","step":STEP}', "tensor", "no elements"),
+    ('{"msg_type":"tensor","name":"w","step":STEP,"data":[]}', "tensor", "no elements"),
+    ('{"msg_type":"tensor","data":[1]}', "tensor", "no name or step"),
+    ('{"msg_type":"telemetry","data":{"cpu":STEP}}', "telemetry", "taken"),
+    ('{"msg_type":"telemetry","step":STEP}', "telemetry", "no readings"),
+    ('{"msg_type":"telemetry","step":STEP,"data":{}}', "telemetry", "no readings"),
+    ('{"msg_type":"control","command":"finish"}', "control", "taken"),
+    ('{"msg_type":"control","command":"flush"}', "control", "taken"),
+    ('{"msg_type":"control","command":"reboot"}', "control", "unknown command"),
+    ('{"msg_type":"control"}', "control", "unknown command"),
+    ('{"msg_type":"metrics_batch","metrics":[]}', "metrics_batch", "empty batch"),
+    ('{"msg_type":"metrics_batch"}', "metrics_batch", "empty batch"),
+    ('{"msg_type":"metrics_batch","metrics":[{"name":"a","step":STEP,"value":1},{"value":2}]}', "metrics_batch", "entry without name or step"),
+    ('{"msg_type":"metrics_batch","metrics":[{"name":"a","step":STEP,"value":1}]}', "metrics_batch", "taken"),
+    ('{"msg_type":"gossip","step":STEP}', "unknown", "unknown kind"),
+    ('{"msg_type":"metric","name":"lo', "unknown", "not JSON"),
+    ("", "unknown", "not JSON"),
+]
+
+
+def _shaped_messages(events: DataFrame) -> DataFrame:
+    """Events as messages, whole and broken ones of every kind."""
+    shapes = F.array(*(F.lit(t) for t, *_ in _SHAPES))
+    shape = F.get(shapes, F.pmod("event_id", F.lit(len(_SHAPES))).cast("int"))
+    return events.select(F.replace(shape, F.lit("STEP"), F.col("event_id").cast("string")).alias("value"))
+
+
+_SHAPE_SQL = "shapes(place, kind, outcome) AS (VALUES " + ", ".join(f"({i}, '{k}', '{o}')" for i, (_, k, o) in enumerate(_SHAPES)) + ")"
+
+
+@query(
+    f"""WITH {_SHAPE_SQL} SELECT kind, outcome, count(*) AS messages
+    FROM events JOIN shapes ON event_id % {len(_SHAPES)} = place GROUP BY kind, outcome"""
+)
+def message_accounts(spark, folder):
+    """What became of every message, by kind and reason."""
+    return M.message_accounts(M.decode(_shaped_messages(tables.table(spark, folder, "events"))))
+
+
+_TENSOR_ROWS = f"""SELECT 'w' AS name, event_id AS step, pos, CASE pos WHEN 0 THEN 1.0 WHEN 2 THEN 2.5 WHEN 3 THEN event_id::DOUBLE END AS value
+    FROM events, range(4) AS p(pos) WHERE event_id % {len(_SHAPES)} = {next(i for i, (t, k, o) in enumerate(_SHAPES) if k == "tensor" and o == "taken")}"""
+
+
+def _tensor_rows(rows: DataFrame) -> DataFrame:
+    """Elements with NaN shown as null, as it equals nothing."""
+    return rows.select("name", "step", F.col("pos").cast("long").alias("pos"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@query(_TENSOR_ROWS)
+def message_tensors(spark, folder):
+    return _tensor_rows(M.tensor_elements(M.decode(_shaped_messages(tables.table(spark, folder, "events")))))
+
+
 # -- streams -----------------------------------------------------------------
 
 
@@ -179,6 +239,24 @@ def stream_messages(spark, folder):
     return rows.select("run_id", "name", "step", "value")
 
 
+@query(_TENSOR_ROWS)
+def stream_tensors(spark, folder):
+    work = new_work_folder(spark, "tensors")
+    ingest.start_message_ingest(_shaped_messages(event_stream(spark, folder)), f"{work}/out", f"{work}/state").awaitTermination()
+    return _tensor_rows(ingest.read_ingested(spark, f"{work}/out", "tensors"))
+
+
+@query(
+    f"""WITH {_SHAPE_SQL} SELECT outcome AS reason, count(*) AS messages
+    FROM events JOIN shapes ON event_id % {len(_SHAPES)} = place WHERE outcome <> 'taken' GROUP BY outcome"""
+)
+def stream_quarantine(spark, folder):
+    """Reasons of the texts that a stream put aside."""
+    work = new_work_folder(spark, "quarantine")
+    ingest.start_message_ingest(_shaped_messages(event_stream(spark, folder)), f"{work}/out", f"{work}/state").awaitTermination()
+    return ingest.read_ingested(spark, f"{work}/out", "quarantine").groupBy("reason").agg(F.count("*").alias("messages"))
+
+
 @query(
     f"""WITH {_READINGS}, late AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
     SELECT run_id, {clock_sql("time_bucket(INTERVAL 1 HOUR, ts)")} AS start, key,

@@ -12,6 +12,8 @@ from metricloom.model import MESSAGE, METRIC_TYPES
 
 # Message kinds.
 KINDS = ("metric", "metrics_batch", "tensor", "telemetry", "control")
+# Commands of control messages.
+COMMANDS = ("flush", "finish")
 
 
 def decode(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -28,27 +30,55 @@ def decode(raw: DataFrame, column: str = "value") -> DataFrame:
 
 def _unusable() -> Column:
     """Not JSON, of no known kind, or holding a metric of no known type."""
+    return F.coalesce(_faults()[0].isNotNull(), F.lit(False))
+
+
+def _faults() -> tuple[Column, Column]:
+    """(why nothing of a message is taken, why not all of it is); null where there is no reason."""
+    kind = F.col("kind")
     unknown = lambda t: F.coalesce(~t.isin(*METRIC_TYPES), F.lit(False))
-    in_batch = F.coalesce(F.exists("metrics", lambda m: unknown(m["metric_type"])), F.lit(False))
-    return (
-        F.col("_bad").isNotNull()
-        | ~F.col("kind").isin(*KINDS)
-        | unknown(F.col("metric_type"))
-        | in_batch
+    lacking = lambda m: m["name"].isNull() | m["step"].isNull()
+    typed = unknown(F.col("metric_type")) | F.coalesce(F.exists("metrics", lambda m: unknown(m["metric_type"])), F.lit(False))
+    nameless = F.col("name").isNull() | F.col("step").isNull()
+    readings = F.coalesce(F.size(F.map_keys(F.from_json("data", "map<string,string>"))), F.lit(0)) <= 0
+    nothing = (
+        F.when(_not_json(), "not JSON")
+        .when(~kind.isin(*KINDS), "unknown kind")
+        .when(typed, "unknown metric type")
+        .when(kind.isin("metric", "tensor") & nameless, "no name or step")
+        .when((kind == "metrics_batch") & (F.coalesce(F.size("metrics"), F.lit(0)) <= 0), "empty batch")
+        .when((kind == "tensor") & (F.size(_numbers()) <= 0), "no elements")
+        .when((kind == "telemetry") & readings, "no readings")
+        .when((kind == "control") & ~F.coalesce(F.col("command").isin(*COMMANDS), F.lit(False)), "unknown command")
     )
+    return nothing, F.when((kind == "metrics_batch") & F.coalesce(F.exists("metrics", lacking), F.lit(False)), "entry without name or step")
 
 
-def _incomplete() -> Column:
-    """A metric message, or one with an entry, that lacks its name or step and so yields no row."""
-    lacking = lambda m: m["name"].isNull() | m["step"].isNull()
-    single = (F.col("kind") == "metric") & (F.col("name").isNull() | F.col("step").isNull())
-    batch = (F.col("kind") == "metrics_batch") & F.coalesce(F.exists("metrics", lacking), F.lit(True))
-    return F.coalesce(single | batch, F.lit(False))
+def _not_json() -> Column:
+    """Text that does not parse, or none at all (which parses as nothing)."""
+    return F.col("_bad").isNotNull() | F.coalesce(F.trim("_raw") == "", F.lit(True))
+
+
+def _numbers() -> Column:
+    """The elements of a tensor's text, in order."""
+    return F.coalesce(F.regexp_extract_all("data", F.lit(r"[^\[\],\s]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def quarantine(messages: DataFrame) -> DataFrame:
-    """The texts no other function below takes, or of which it does not take every entry."""
-    return messages.where(_unusable() | _incomplete()).select(F.col("_raw").alias("raw"))
+    """(raw, reason): the texts no other function below takes, or of which it does not take every entry.
+
+    Every message is here, or gives rows, or is a command to flush, which is taken and has none.
+    """
+    nothing, partly = _faults()
+    return messages.select(F.col("_raw").alias("raw"), F.coalesce(nothing, partly).alias("reason")).where("reason IS NOT NULL")
+
+
+def message_accounts(messages: DataFrame) -> DataFrame:
+    """(kind, outcome, messages): how many messages of each kind were taken, or for what reason they were not, or not wholly."""
+    nothing, partly = _faults()
+    outcome = F.coalesce(nothing, partly, F.lit("taken")).alias("outcome")
+    kind = F.when(~_not_json() & F.col("kind").isin(*KINDS), F.col("kind")).otherwise("unknown").alias("kind")
+    return messages.select(kind, outcome).groupBy("kind", "outcome").agg(F.count("*").alias("messages"))
 
 
 def metric_rows(messages: DataFrame) -> DataFrame:
@@ -103,9 +133,8 @@ def tensor_elements(messages: DataFrame) -> DataFrame:
 
     Every element keeps its place: NaN and infinities are values, anything else that is no number is null.
     """
-    tensors = messages.where(F.col("kind") == "tensor")
-    numbers = F.regexp_extract_all("data", F.lit(r"[^\[\],\s]+"), F.lit(0))
-    return tensors.select("run_id", "name", "step", F.posexplode(numbers).alias("pos", "_v")).select(
+    tensors = messages.where((F.col("kind") == "tensor") & ~_unusable())
+    return tensors.select("run_id", "name", "step", F.posexplode(_numbers()).alias("pos", "_v")).select(
         "run_id", "name", "step", "pos", F.col("_v").try_cast("double").alias("value")
     )
 

@@ -316,3 +316,25 @@ def test_watermark_is_for_rollups_only(spark, series, tmp_path):
     stream = ingest.with_event_time(spark.readStream.schema(frame.schema).parquet(source))
     assert stream.isStreaming
     assert R.within_retention(frame, 1, "2024-01-01 00:00:01", "timestamp").count() == 2
+
+
+def test_no_message_vanishes(spark):
+    """Each text gives rows, is a flush, or is put aside with a reason; whatever it lacks."""
+    texts = {
+        '{"msg_type":"tensor","name":"w","step":1}': "no elements",
+        '{"msg_type":"tensor","name":"w","step":1,"data":[[],[]]}': "no elements",
+        '{"msg_type":"tensor","data":[1]}': "no name or step",
+        '{"msg_type":"telemetry"}': "no readings",
+        '{"msg_type":"telemetry","data":"text"}': "no readings",
+        '{"msg_type":"control","command":"reboot"}': "unknown command",
+        '{"msg_type":"metrics_batch","metrics":[]}': "empty batch",
+        '{"msg_type":"metrics_batch","metrics":[{"value":1}]}': "entry without name or step",
+        "[1, 2": "not JSON",
+        " ": "not JSON",
+        '{"msg_type":"control","command":"flush"}': None,
+        '{"msg_type":"control","command":"finish"}': None,
+    }
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "value string")
+    aside = {r["raw"]: r["reason"] for r in M.quarantine(M.decode(df)).collect()}
+    assert aside == {**{t: r for t, r in texts.items() if r}, None: "not JSON"}
+    assert M.message_accounts(M.decode(df)).groupBy().sum("messages").first()[0] == len(texts) + 1
