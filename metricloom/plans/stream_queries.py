@@ -6,11 +6,15 @@ up and return what the sink holds.
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.operators import telemetry as T
 from metricloom.operators.audit import verify_chain, verify_summary
+from metricloom.plans.analysis_queries import GAPPY, all_ctes, gappy
 from metricloom.plans.common import (
     RUN_OF_USER,
     Registry,
@@ -358,18 +362,89 @@ def stream_chain_verified(spark, folder):
     return verify_summary(lines, verify_chain(lines))
 
 
-@query()
+#: Seconds between two analyses of a run in the query below; its second drop comes sooner.
+_INTERVAL = 10
+
+
+@query(
+    with_tables(
+        "metrics",
+        "runs",
+        body=f"""+ act AS (SELECT * FROM metrics WHERE run_id IN (SELECT id FROM runs WHERE status = 'running')),
+        {GAPPY.replace("FROM metrics", "FROM act")}, {all_ctes("gappy")}
+        SELECT run_id, anomaly_type, count(*) AS anomalies, count(*) FILTER (severity = 'critical') AS alerts, true AS ids_unique
+        FROM found GROUP BY run_id, anomaly_type""",
+    )
+)
 def stream_analysis(spark, folder):
-    """Micro-batch analysis of the running runs: the insights it stored."""
+    """What the last analysis of every run found, its alerts read back, after data in two drops.
+
+    The second drop comes inside the interval of most runs, so their timers must bring them back.
+    """
     work = new_work_folder(spark, "analysis")
-    rows = tables.metrics_from_events(event_stream(spark, folder))
-    analysis.start_analysis(
-        rows,
-        history=lambda: tables.metrics(spark, folder),
-        runs=lambda: tables.runs(spark, folder),
-        path=f"{work}/out",
-        checkpoint=f"{work}/state",
-        alert=analysis.alert_sink(f"{work}/alerts"),
-    ).awaitTermination()
-    stored = spark.read.parquet(f"{work}/out/insights")
-    return stored.select("run_id", "insight_type", "title", "description", "severity")
+    events = tables.table(spark, folder, "events")
+    read = lambda: gappy(tables.metrics_from_events(spark.read.schema(events.schema).parquet(f"{work}/in")))
+
+    def turn(done):
+        running = analysis.start_analysis(
+            tables.metrics_from_events(spark.readStream.schema(events.schema).parquet(f"{work}/in")),
+            history=read,
+            runs=lambda: tables.runs(spark, folder),
+            path=f"{work}/out",
+            checkpoint=f"{work}/state",
+            alert=analysis.alert_sink(f"{work}/alerts"),
+            interval=_INTERVAL,
+        )
+        analysis.run_until(running, done, 600)
+
+    def complete(runs, since):
+        """Whether all these runs were analysed after a time, with all outputs written."""
+        try:
+            analysed = spark.read.parquet(f"{work}/out/analysed").where(F.unix_millis("at") >= since)
+            analysed = analysed.join(spark.read.parquet(f"{work}/out/done").select("run_id", "batch").distinct(), ["run_id", "batch"])
+        except AnalysisException:
+            return False  # nothing written yet
+        return runs.join(analysed, "run_id", "left_anti").isEmpty()
+
+    def replay():
+        for late in (False, True):
+            part = events.where((F.col("event_id") % 3 == 0) == late)
+            part.write.mode("append").parquet(f"{work}/in")
+            began = int(time.time() * 1000)
+            touched = tables.metrics_from_events(part).select("run_id").distinct()
+            turn(lambda runs=touched, since=began: complete(runs, since))
+
+    _with_state_store(spark, replay)
+    last = spark.read.parquet(f"{work}/out/analysed").groupBy("run_id").agg(F.max("batch").alias("batch"))
+    anomalies = spark.read.parquet(f"{work}/out/anomalies").join(last, ["run_id", "batch"])
+    alerts = spark.read.json(f"{work}/alerts").join(last, ["run_id", "batch"]).groupBy("run_id", "anomaly_type").agg(F.count("*").alias("alerts"))
+    insights = spark.read.parquet(f"{work}/out/insights").unionByName(spark.read.parquet(f"{work}/out/held"))
+    unique = insights.agg(F.count("*") == F.count_distinct("id")).first()[0]
+    found = anomalies.groupBy("run_id", "anomaly_type").agg(F.count("*").alias("anomalies")).join(alerts, ["run_id", "anomaly_type"], "left")
+    return found.withColumns({"alerts": F.coalesce("alerts", F.lit(0)), "ids_unique": F.lit(unique)})
+
+
+@query(
+    f"""WITH i AS (SELECT {RUN_OF_USER} AS run_id, event_id::VARCHAR AS id, event_id % 2 AS late,
+            CASE WHEN event_id % 7 = 0 THEN 'critical' WHEN event_id % 7 < 3 THEN 'warning' ELSE 'info' END AS severity FROM events),
+        f AS (SELECT DISTINCT {RUN_OF_USER} AS run_id FROM events WHERE user_id % 3 = 0 AND event_id % 2 = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY late,
+            CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, id) AS place FROM i)
+        SELECT run_id, id, severity FROM r WHERE place <= 4 OR run_id IN (SELECT run_id FROM f)"""
+)
+def stream_insight_cap(spark, folder):
+    """Insights in two drops: four a run while it runs, all of a run that has finished."""
+    work = new_work_folder(spark, "outlet")
+    events = tables.table(spark, folder, "events")
+
+    def replay():
+        for late in (0, 1):
+            events.where(F.col("event_id") % 2 == late).coalesce(1).write.mode("append").parquet(f"{work}/in")
+            stream = spark.readStream.schema(events.schema).parquet(f"{work}/in")
+            kind = F.when(F.col("event_id") % 7 == 0, "critical").when(F.col("event_id") % 7 < 3, "warning").otherwise("info")
+            insights = stream.select(tables.run_of_user().alias("run_id"), F.col("event_id").alias("id"), kind.alias("severity"))
+            ends = stream.where("user_id % 3 = 0 AND event_id % 2 = 1").select(tables.run_of_user().alias("run_id"))
+            state.start_append(analysis.capped_insights(insights, ends, 4), f"{work}/out", f"{work}/state").awaitTermination()
+
+    _with_state_store(spark, replay)
+    return spark.read.parquet(f"{work}/out").select("run_id", "id", "severity")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import json
 
 import pytest
@@ -261,36 +263,42 @@ def test_chain_state_equals_batch(spark, small, tmp_path):
 
 
 def test_periodic_analysis(spark, series, tmp_path):
-    values = {"loss": [1.0 if i % 50 else 100.0 for i in range(200)]}
+    values = {"loss": [1.0 if i % 50 else 100.0 for i in range(200)], "train_loss": [2.0 if i % 40 else 90.0 for i in range(200)]}
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "state"))
     runs = spark.createDataFrame([("r", "running"), ("done", "completed")], "id string, status string")
-    seen = []
+    seen = {}
 
-    def run(run_id, interval):
+    def run(run_id, interval, wait=None):
         frame = series(values, run_id)
-        frame.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(frame.schema).parquet(source)
-        analysis.start_analysis(
-            stream,
+        if run_id is not None:
+            frame.write.mode("append").parquet(source)
+        before, began = set(seen), time.monotonic()
+        query = analysis.start_analysis(
+            spark.readStream.schema(frame.schema).parquet(source),
             history=lambda: spark.read.parquet(source),
             runs=lambda: runs,
             path=out,
             checkpoint=mark,
-            alert=lambda found, batch: seen.append((batch, found.where("severity = 'critical'").count())),
+            alert=lambda found, batch: seen.update({batch: found.where("severity = 'critical'").count()}),
             cap=1,
             interval=interval,
-        ).awaitTermination()
-
-    run("r", 0)
-    assert seen == [(0, 4)]
-    insights = spark.read.parquet(f"{out}/insights")
-    assert insights.count() == 1  # a spike insight; the cap leaves no room for more
-    run("r", 10**6)  # analysed a moment ago: not due
-    assert seen[1] == (1, 0)
-    run("done", 0)  # not running
-    assert seen[2] == (2, 0)
-    run("r", 0)  # due again, but the cap is used up
-    assert spark.read.parquet(f"{out}/insights").count() == 1
+        )
+        analysis.run_until(query, lambda: time.monotonic() - began > wait if wait else set(seen) > before, 60)
+        return [seen[b] for b in sorted(set(seen) - before)]
+
+    first = run("r", 20)
+    assert len(first) == 1 and first[0] > 0
+    insights, held = (lambda n=n: spark.read.parquet(f"{out}/{n}").count() for n in ("insights", "held"))
+    assert insights() == 1  # the cap leaves no room for more
+    beyond = held()
+    assert run("r", 20, wait=5) == []  # analysed a moment ago
+    assert run("done", 20) == [0]  # not running
+    again = run(None, 20)  # no new data, but a timer
+    assert len(again) == 1 and again[0] > 0
+    assert {(r["run_id"], r["by"]) for r in spark.read.parquet(f"{out}/analysed").collect()} == {("r", "data"), ("done", "data"), ("r", "timer")}
+    assert insights() == 1 and held() > beyond  # the cap is used up; what came later is held, under ids of its own
+    ids = spark.read.parquet(f"{out}/held").union(spark.read.parquet(f"{out}/insights")).select("id")
+    assert ids.count() == ids.distinct().count()
 
 
 def test_change_notices_and_votes(spark, series, tmp_path):
