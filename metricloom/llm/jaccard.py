@@ -389,6 +389,34 @@ def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInPandas(sign, "mark64 long, sig long")
 
 
+def _met(entries: DataFrame) -> DataFrame:
+    """Distinct (sig, mark64) of the signatures that several sets have.
+
+    One shuffle; a task then reads its signatures in order and remembers one row, so one with very many sets is streamed, never gathered.
+    """
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # signature and mark of the row before, and whether it went out
+        for batch in batches:
+            sig, mark = batch["sig"].to_numpy(), batch["mark64"].to_numpy()
+            if last is not None:
+                sig, mark = np.r_[last[0], sig], np.r_[last[1], mark]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (mark[1:] != mark[:-1])]
+            sig, mark = sig[new], mark[new]
+            if not len(sig):
+                continue
+            again = sig[1:] == sig[:-1]
+            several = np.r_[False, again] | np.r_[again, False]
+            told = several.copy()
+            if last is not None:
+                several[0] |= last[2]
+                told[0] &= not last[2]
+            last = (sig[-1], mark[-1], bool(several[-1]))
+            yield pd.DataFrame({"sig": sig[told], "mark64": mark[told]})
+
+    return entries.repartition("sig").sortWithinPartitions("sig", "mark64").mapInPandas(shared, "sig long, mark64 long")
+
+
 def _short_mark(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "big", signed=True)
 
@@ -499,10 +527,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = stored(profiles.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class"), F.max("n_shingles").alias("n")), "classes")
 
     signing = docs.join(stored(_screened(signed, classes, percent), "screened"), "doc_id", "left_semi") if screen else docs
-    met = stored(_shared(stored(_entries(signing, size, percent), "entries"), "mark64"), "met")
+    met = stored(_met(_entries(signing, size, percent)), "met")
     # Should two sets have the same short mark, both take its signatures; the texts decide.
     own = classes.select("class", "n", _as_long("mark").alias("mark64"))
-    met = stored(met.distinct().join(own, "mark64").select("class", "n", "sig"), "met")
+    met = stored(met.join(own, "mark64").select("class", "n", "sig"), "met")
 
     # A bucket with the classes of another one tells nothing new.
     content = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"x{i}") for i in range(2)]

@@ -85,6 +85,23 @@ def test_links_are_decided_in_tiles(spark, monkeypatch):
         assert found == brute_components(rows, size, percent)
 
 
+@pytest.mark.parametrize("most", [3, 50, 2000])
+def test_shared_signatures_are_streamed(spark, most):
+    """Signatures that cross batches, repeated rows, and signatures of one set only."""
+    rng = np.random.default_rng(most)
+    rows = [(int(m), int(s)) for m, s in zip(rng.integers(0, most, 3000), rng.integers(-most, most, 3000))]
+    sets: dict[int, set[int]] = {}
+    for mark, sig in rows:
+        sets.setdefault(sig, set()).add(mark)
+    size, key = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        got = [(r["sig"], r["mark64"]) for r in jaccard._met(spark.createDataFrame(rows, "mark64 long, sig long")).collect()]
+    finally:
+        spark.conf.set(key, size)
+    assert sorted(got) == sorted((s, m) for s, marks in sets.items() if len(marks) > 1 for m in marks)
+
+
 def test_screen_keeps_what_may_link(spark):
     texts = [*family(1, 3, 200, 2), *family(2, 0, 300, 1), *family(3, 0, 5, 1)]
     df = spark.createDataFrame(list(enumerate([*texts, texts[4]])), "doc_id long, text string")
