@@ -13,10 +13,9 @@ same classes one is kept. Pairs are judged by a parity sketch first: two sets di
 elements as their sketches in bits, so a pair it rejects cannot link. Each class meets only its neighbours in
 its largest bucket, then the nearest one of another component in any bucket; these are compared by text, and
 found links make components. What is left are buckets that still hold several components. There a task says
-which classes have a partner across components that the sketch lets pass; their whole sets are brought to
-the tile, and a second task tests across components with a union-find of its own and emits only links that join two, fewer
-than it has classes. Large buckets are cut into tiles, which tasks compare two by two. No link between
-components is lost.
+which classes have a partner across components that the sketch lets pass: no more rows than the bucket has. Buckets with
+the same ones are one again, and only their pairs across components that pass are emitted and compared by text. Large buckets are cut into
+tiles, which tasks compare two by two. No link between components is lost.
 
 The number of signatures of a set grows with the differences allowed. For lower thresholds a screen
 comes first: shingles of a fixed share of the domain are counted, and a set of which more are held by
@@ -235,23 +234,6 @@ def _suspects(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return rows.loc[marked, ["sig", "i", "j", "class"]]
 
 
-class Parts:
-    """A union-find over parts, by their numbers."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, part: int) -> int:
-        while (above := self.up.get(part, part)) != part:
-            self.up[part] = self.up.get(above, above)
-            part = above
-        return part
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-
-
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """The exact test on two sorted sets."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -260,21 +242,13 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(small) + len(large) - common)
 
 
-def _joining(rows: pd.DataFrame, percent: int, parts: Parts) -> pd.DataFrame:
-    """(a, b): links that join two parts; each joins the parts at once, so there are fewer than parts."""
-    sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
-    marks = [sketches(e) for e in sets]
-    columns = {"short": [m for m, _ in marks], "wide": [m for _, m in marks], "n": [len(e) for e in sets], "tile": 0}
-    bucket = rows.groupby(["sig", "i", "j"], sort=False).ngroup()
-    rows = rows.assign(**columns, sig=bucket, i=0, j=0)  # all pairs of a group, whatever tiles its classes came from
-    ids, part = (rows[c].to_numpy(np.int64) for c in ("class", "part"))
-    found = []
-    for x, y, _ in _near_pairs(*_columns(rows), percent, None):
-        for p, q in zip(x.tolist(), y.tolist()):
-            if parts.root(part[p]) != parts.root(part[q]) and linked(sets[p], sets[q], percent):
-                parts.join(part[p], part[q])
-                found.append((ids[p], ids[q]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): all pairs of groups of suspects that may link across parts."""
+    rows = rows.assign(sig=rows.groupby(["sig", "i", "j"], sort=False).ngroup(), i=0, j=0, tile=0)  # whatever tiles its classes came from
+    ids = rows["class"].to_numpy(np.int64)
+    found = [np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]) for x, y, _ in _near_pairs(*_columns(rows), percent, None)]
+    a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
 def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -282,16 +256,16 @@ def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
     dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", *(c for c in ("n", "class") if c in rows.columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, state = None, Parts()
+        rest = None
         for batch in batches:
             if rest is not None:
                 batch = pd.concat([rest, batch], ignore_index=True)
             last = (batch[["sig", "i", "j"]] == batch[["sig", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
             rest = batch[last]
             if not last.all():
-                yield work(batch[~last], state)
+                yield work(batch[~last])
         if rest is not None:
-            yield work(rest, state)
+            yield work(rest)
 
     return dealt.mapInPandas(run, schema)
 
@@ -310,7 +284,7 @@ def _tiled(mixed: DataFrame, within: bool = False) -> DataFrame:
 
 def _nearest_pairs(mixed: DataFrame, percent: int, reach: int | None = None) -> DataFrame:
     """(a, b): the nearest smaller partner of each class across parts, over all its buckets."""
-    pairs = _by_bucket(_tiled(mixed, within=reach is not None), lambda rows, _: _nearest(rows, percent, reach), "a long, b long, d long")
+    pairs = _by_bucket(_tiled(mixed, within=reach is not None), lambda rows: _nearest(rows, percent, reach), "a long, b long, d long")
     return pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
 
 
@@ -538,9 +512,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     same = same.groupBy("size", "weight", "x0", "x1").agg(F.min("sig").alias("sig"))
     shared = stored(met.join(same.select("sig", "size", "weight"), "sig"), "buckets")
 
-    heads = signed.select(F.col("doc_id").alias("class"), "mark", "short", "wide")
+    heads = signed.select(F.col("doc_id").alias("class"), "mark", F.col("n_shingles").alias("n"), "short", "wide")
     heads = heads.join(classes.select("class", "mark"), ["class", "mark"], "left_semi").drop("mark").dropDuplicates(["class"])
     heads = stored(heads.join(shared.select("class").distinct(), "class", "left_semi"), "sketches")
+    shared = shared.drop("n")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = stored(ids.join(classes, "class").select(F.col("class").alias("doc_id"), "mark"), "wanted")
@@ -562,13 +537,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     parts = _merged(parts, links_of(_nearest_pairs(mixed(parts).join(heads, "class"), percent)))
 
     mixed_tiles = _tiled(mixed(parts).join(heads, "class"))
-    suspects = stored(_by_bucket(mixed_tiles, lambda rows, _: _suspects(rows, percent), "sig long, i long, j long, class long"), "suspects")
-    # Whole sets go once to those that have the same suspects, however many signatures they share.
+    suspects = stored(_by_bucket(mixed_tiles, lambda rows: _suspects(rows, percent), "sig long, i long, j long, class long"), "suspects")
+    # Buckets with the same suspects are one, however many signatures they share.
     groups = suspects.groupBy("sig", "i", "j").agg(F.count("*").alias("size"), *content)
     groups = groups.groupBy("size", "x0", "x1").agg(F.min(F.struct("sig", "i", "j")).alias("g")).select("g.*")
-    sets = stored(_sets_of(texts_of(suspects.select("class").distinct()), size), "suspect-sets")
-    rest = _with_component(suspects.join(groups, ["sig", "i", "j"], "left_semi"), parts, "class", "part").join(sets, "class")
-    parts = _merged(parts, stored(_by_bucket(rest, lambda rows, state: _joining(rows, percent, state), "a long, b long"), "links"))
+    rest = suspects.join(stored(groups, "suspect-groups"), ["sig", "i", "j"], "left_semi")
+    rest = _with_component(rest, parts, "class", "part").join(heads, "class")
+    parts = _merged(parts, links_of(_by_bucket(rest, lambda rows: _across(rows, percent), "a long, b long").distinct()))
     labelled = _with_component(classes.select("mark", "class"), parts, "class", "component_id")
     return (
         profiles.join(labelled.select("mark", "component_id"), "mark", "left")
@@ -587,17 +562,6 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, profiles: DataFrame, size: int
     return found.select(F.col("doc_id").alias("class"), "text")
 
 
-def _sets_of(texts: DataFrame, size: int) -> DataFrame:
-    """(class, elements): the sorted shingle hashes of each text, in bytes."""
-
-    @F.pandas_udf("binary")
-    def elements(texts: pd.Series) -> pd.Series:
-        hashes = WordHashes()
-        return pd.Series([shingle_set(t, hashes, size).tobytes() for t in texts], index=texts.index, dtype=object)
-
-    return texts.select("class", elements.asNondeterministic()("text").alias("elements"))
-
-
 def _as_long(mark: str):
     """The first eight bytes of a mark as a number, as :func:`_short_mark` gives them."""
     return F.conv(F.hex(F.substring(mark, 1, 8)), 16, -10).cast("long")

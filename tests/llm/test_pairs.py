@@ -73,7 +73,7 @@ def test_repeated_id_does_not_silence_others(spark, screen):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df, screen=screen).collect()} == {1: 1, 2: 2, 3: 2}
 
 
-def test_links_are_decided_in_tiles(spark, monkeypatch):
+def test_links_of_the_last_step(spark, monkeypatch):
     """Small tiles, no neighbours looked at first: groups that link only in the last step come out whole, and nothing else does."""
     monkeypatch.setattr(jaccard, "TILE", 7)
     monkeypatch.setattr(jaccard, "_nearest_pairs", lambda mixed, percent, reach=None: mixed.limit(0).selectExpr("class AS a", "class AS b"))
