@@ -33,14 +33,14 @@ def op2_neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boilerplate_ctes(source: str) -> str:
-    """``site_marks`` (source, marks) for a relation with source and text."""
+    """``site_marks`` (source, marks) for a relation with source and text; pages of one text are one page."""
     return rf"""
     site_lines AS (
-        SELECT source, line, count(*) AS n_pages
-        FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM {source}
+        SELECT source, line, count(DISTINCT page) AS n_pages
+        FROM (SELECT source, md5(text) AS page, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM {source}
               WHERE source IS NOT NULL AND text IS NOT NULL)
         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
-    site_totals AS (SELECT source, count(*) AS n_host FROM {source} WHERE source IS NOT NULL GROUP BY source),
+    site_totals AS (SELECT source, count(DISTINCT coalesce(md5(text), '')) AS n_host FROM {source} WHERE source IS NOT NULL GROUP BY source),
     site_marks AS (
         SELECT source, list(line) AS marks FROM site_lines JOIN site_totals USING (source)
         WHERE n_pages >= {lines.MIN_PAGES} AND n_pages > {lines.MAX_RATIO} * n_host GROUP BY source)"""

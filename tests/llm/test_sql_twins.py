@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from metricloom.llm.queries import REGISTRY
@@ -36,3 +37,18 @@ def test_columns(spark, small, start):
 
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in REGISTRY] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_copies_and_cut_lines(spark, tmp_path):
+    """Where copies are above the ratio and lines are cut, the twin of the line operator says the same as the operator."""
+    rows = [(i, "a", f"own {i}\nfooter line\nrare {i % 7}") for i in range(60)]
+    rows += [(100 + i, "a", "copied first\ncopied second") for i in range(30)]
+    rows += [(200 + i, "b", f"other {i}\nseldom" if i < 3 else f"other {i}") for i in range(40)] + [(300, "b", None), (301, "b", None), (302, None, "footer line"), (303, "b", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    query = REGISTRY["op3_site_lines"]
+    mine = query.run(spark, str(tmp_path)).toPandas()
+    assert difference(mine, db.execute(query.sql).df()) is None
+    cut = mine[mine["n_dropped"] > 0]
+    assert len(cut) == 60 and set(mine[mine["doc_id"] == 100]["text"]) == {"copied first\ncopied second"}
