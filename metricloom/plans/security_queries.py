@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions import crypto, pii
 from metricloom.operators import audit as U
 from metricloom.operators import compliance as C
+from metricloom.operators import seals as S
 from metricloom.plans.common import Registry, tables, with_tables
 from metricloom.session import ensure_checkpoint_dir
 
@@ -261,6 +262,104 @@ def audit_segment_heads(spark, folder):
     return U.segment_heads(U.build_chain(tables.audit_events(spark, folder), SEGMENT))
 
 
+# -- sealed segments -----------------------------------------------------------
+
+_LEAVES = f"""+ {chain_sql(f"CAST(idx // {SEGMENT} AS BIGINT)", _NUMBERED)},
+    leaves AS (SELECT log, segment, arg_max(event_hash, line_no) AS head, count(*) AS lines
+        FROM chain GROUP BY log, segment)"""
+
+
+def tree_sql(leaves: str, prefix: str) -> str:
+    """The levels of the hash tree as CTEs ``{prefix}0`` (leaves) to ``{prefix}{DEPTH}`` (roots)."""
+    parts = [
+        f"""{prefix}0 AS (SELECT log, segment AS unit,
+            sha256(concat_ws(chr(31), 'leaf', segment, head, lines)) AS hash FROM {leaves})"""
+    ]
+    for level in range(1, S.DEPTH + 1):
+        parts.append(
+            f"""{prefix}{level} AS (SELECT log, unit // {S.FAN_OUT} AS unit, sha256(concat_ws(chr(31), 'node {level}',
+            unit // {S.FAN_OUT}, string_agg(unit || ':' || hash, chr(31) ORDER BY unit))) AS hash
+            FROM {prefix}{level - 1} GROUP BY log, unit // {S.FAN_OUT})"""
+        )
+    return ", ".join(parts)
+
+
+@query(
+    _recursive(
+        "audit",
+        body=f"""{_LEAVES}, {tree_sql("leaves", "t")}
+        SELECT log, segments, lines, hash AS root FROM t{S.DEPTH}
+        JOIN (SELECT log, count(*) AS segments, sum(lines)::BIGINT AS lines FROM leaves GROUP BY log) USING (log)""",
+    )
+)
+def audit_segment_links(spark, folder):
+    """The sealed root of every log."""
+    return S.roots(S.seal_leaves(U.build_chain(tables.audit_events(spark, folder), SEGMENT)))
+
+
+def _sealed(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """A stored chain and its leaves, as they would lie in storage."""
+    ensure_checkpoint_dir(spark)
+    chain = U.build_chain(tables.audit_events(spark, folder), SEGMENT).checkpoint()
+    return chain, S.seal_leaves(chain).checkpoint()
+
+
+def _day_of_month() -> Column:
+    return F.right("log", F.lit(2)).cast("int")
+
+
+@query(
+    _recursive(
+        "audit",
+        body=f"""{_LEAVES},
+        s AS (SELECT l.*, day(CAST(log AS DATE)) AS d, max(segment) OVER (PARTITION BY log) AS last FROM leaves l)
+        SELECT log, segment, 'Segment missing' AS error FROM s WHERE d % 5 = 0 AND segment % 3 = 1
+        UNION ALL SELECT log, segment, unnest(['Line count differs from seal', 'Segment head differs from seal'])
+            FROM s WHERE d % 5 = 1 AND segment = last AND lines > 1
+        UNION ALL SELECT log, segment, 'Segment missing' FROM s WHERE d % 5 = 1 AND segment = last AND lines = 1
+        UNION ALL SELECT log, segment, 'Segment moved (sealed as ' || (1 - segment) || ')' FROM s
+            WHERE d % 5 = 2 AND segment < 2 AND last > 0
+        UNION ALL SELECT a.log, a.segment, 'Line count differs from seal' FROM s a JOIN s b
+            ON a.log = b.log AND a.segment < 2 AND b.segment = 1 - a.segment WHERE a.d % 5 = 2 AND a.lines <> b.lines
+        UNION ALL SELECT log, segment, 'Line count differs from seal' FROM s WHERE d % 5 = 3 AND segment = 0
+        UNION ALL SELECT log, NULL, 'Seal does not match root' FROM s WHERE d % 5 = 3 AND segment = 0""",
+    )
+)
+def audit_tamper_segments(spark, folder):
+    """Sealed logs with segments taken out, a tail cut, two segments swapped, or the stored seal edited, by day."""
+    chain, leaves = _sealed(spark, folder)
+    kind = _day_of_month() % 5
+    ends = chain.groupBy("log").agg(F.max("segment").alias("_last"), F.max("line_no").alias("_end"))
+    swapped = (kind == 2) & (F.col("segment") < 2) & (F.col("_last") > 0)
+    lines = (
+        chain.join(ends, "log")
+        .where(~((kind == 0) & (F.col("segment") % 3 == 1)) & ~((kind == 1) & (F.col("line_no") == F.col("_end"))))
+        .withColumn("segment", F.when(swapped, 1 - F.col("segment")).otherwise(F.col("segment")))
+    )
+    edited = (kind == 3) & (F.col("segment") == 0)
+    stored = leaves.withColumn("lines", F.when(edited, F.col("lines") - 1).otherwise(F.col("lines")))
+    return S.verify_segments(lines, stored, S.roots(leaves))
+
+
+@query(
+    _recursive(
+        "audit",
+        body=f"""{_LEAVES}
+        SELECT log, segment, segment % 4 <> 3 AS member FROM leaves
+        UNION ALL SELECT log, max(segment) + 1, false FROM leaves GROUP BY log""",
+    )
+)
+def audit_segment_members(spark, folder):
+    """Every segment claimed with its path, each fourth with a wrong line count, and one more a log that never was."""
+    _, leaves = _sealed(spark, folder)
+    wrong = F.when(F.col("segment") % 4 == 3, F.col("lines") + 1).otherwise(F.col("lines"))
+    claims = leaves.select("log", "segment", "head", wrong.alias("lines"))
+    unknown = leaves.groupBy("log").agg(
+        (F.max("segment") + 1).alias("segment"), F.max("head").alias("head"), F.lit(1).cast("long").alias("lines")
+    )
+    return S.verify_members(claims.unionByName(unknown), S.seal_nodes(leaves), S.roots(leaves))
+
+
 # -- encryption --------------------------------------------------------------
 
 
