@@ -22,6 +22,7 @@ from metricloom.operators.ordered import (
     exact_quantiles,
     profile_groups,
 )
+from metricloom.session import ensure_checkpoint_dir
 
 SERIES = ["run_id", "name"]
 
@@ -412,61 +413,132 @@ def rank_runs(per_run: DataFrame) -> DataFrame:
 # -- chart thinning ----------------------------------------------------------
 
 
-def _triangles(points: pd.DataFrame, target: int) -> pd.DataFrame:
-    """Largest-triangle-three-buckets over one bounded, ordered series."""
-    n = len(points)
-    if n <= target:
-        return points
-    x = points["step"].to_numpy(float)
-    y = points["value"].to_numpy(float)
-    edges = np.linspace(1, n - 1, target - 1).astype(int)
+#: Candidates of one series that its sequential choice may hold; more are narrowed first.
+CANDIDATES = 1_000_000
+#: Passes of the corner filter over a batch; whatever is left is a superset of the corners.
+CORNER_PASSES = 200
+_POINT = "run_id string, name string, bucket long, idx long, step long, value double"
+
+
+def _corners(points: pd.DataFrame) -> pd.DataFrame:
+    """Rows that may be corners of the convex hull of their bucket, for many buckets at once.
+
+    A point between two others in x is no corner of the upper hull if it is not above their line, and
+    none of the lower hull if it is not below. Such points leave in passes over every other row, so both
+    neighbours of a row that leaves are still there. First and last rows of a bucket stay.
+    """
+    points = points.sort_values(["run_id", "name", "bucket", "idx"], ignore_index=True)
+    keys = points[["run_id", "name", "bucket"]]
+    new = np.ones(len(points), bool)
+    new[1:] = (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)
+    group = np.cumsum(new)
+    x, y = points["step"].to_numpy(float), points["value"].to_numpy(float)
+    keep = np.zeros(len(points), bool)
+    for sign in (1.0, -1.0):
+        left, idle, parity = np.arange(len(points)), 0, 0
+        for _ in range(CORNER_PASSES):
+            mid = np.arange(1 + parity, len(left) - 1, 2)
+            a, b, c = left[mid - 1], left[mid], left[mid + 1]
+            inner = (group[a] == group[c]) & (x[a] != x[c])
+            side = (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+            out = mid[inner & (sign * side >= 0)]
+            idle = 0 if len(out) else idle + 1
+            if idle == 2:
+                break
+            left, parity = np.delete(left, out), 1 - parity
+        keep[left] = True
+    return points[keep]
+
+
+def _area(ax, ay, bx, by, cx, cy):
+    """Twice the signed area of a triangle; columns and arrays alike."""
+    return (ax - cx) * (by - ay) - (ax - bx) * (cy - ay)
+
+
+def _narrow(candidates: DataFrame) -> DataFrame:
+    """Drop candidates that cannot be chosen, whichever candidate of the bucket before is.
+
+    The area is linear in the earlier point, so over the box of the earlier candidates its size is
+    largest at a box corner, and smallest at one unless the sign changes. A candidate whose largest
+    size stays below another's smallest is out. A bucket behind a settled one is settled by one round.
+    """
+    box = candidates.groupBy(*SERIES, (F.col("bucket") + 1).alias("bucket")).agg(
+        F.min("step").cast("double").alias("_x0"),
+        F.max("step").cast("double").alias("_x1"),
+        F.min("value").alias("_y0"),
+        F.max("value").alias("_y1"),
+    )
+    b = (F.col("step").cast("double"), F.col("value"), F.col("cx"), F.col("cy"))
+    areas = [_area(F.col(x), F.col(y), *b) for x in ("_x0", "_x1") for y in ("_y0", "_y1")]
+    low, high = F.least(*areas), F.greatest(*areas)
+    smallest = F.when((low < 0) & (high > 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
+    rated = candidates.join(box, [*SERIES, "bucket"], "left").withColumns(
+        {"_most": F.greatest(F.abs(low), F.abs(high)), "_least": smallest}
+    )
+    bar = rated.groupBy(*SERIES, "bucket").agg(F.max("_least").alias("_bar"))
+    kept = rated.join(bar, [*SERIES, "bucket"]).where(
+        F.col("_bar").isNull() | (F.col("_most") >= F.col("_bar") * (1 - 1e-9))
+    )
+    return kept.select(*candidates.columns)
+
+
+def _walk(points: pd.DataFrame) -> pd.DataFrame:
+    """The triangle rule over the candidates of one series, bucket after bucket."""
+    points = points.sort_values(["bucket", "idx"], ignore_index=True)
+    x, y = points["step"].to_numpy(float), points["value"].to_numpy(float)
+    cx, cy = points["cx"].to_numpy(float), points["cy"].to_numpy(float)
+    bucket = points["bucket"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     keep = [0]
-    for lo, hi, nxt in zip(edges[:-1], edges[1:], [*edges[2:], n]):
-        cx, cy = x[hi:nxt].mean(), y[hi:nxt].mean()
-        ax, ay = x[keep[-1]], y[keep[-1]]
-        area = np.abs((ax - cx) * (y[lo:hi] - ay) - (ax - x[lo:hi]) * (cy - ay))
-        keep.append(lo + int(area.argmax()))
-    keep.append(n - 1)
-    return points.iloc[keep]
+    for lo, hi in zip(starts[1:], [*starts[2:], len(points)]):
+        a = keep[-1]
+        keep.append(lo + int(np.abs(_area(x[a], y[a], x[lo:hi], y[lo:hi], cx[lo], cy[lo])).argmax()))
+    return points.iloc[keep][["run_id", "name", "step", "value"]]
 
 
 def downsample(
     metrics: DataFrame,
     points: int = 10_000,
-    ratio: int = 4,
     profile: GroupProfile | None = None,
     hot_rows: int = HOT_ROWS,
+    most_candidates: int = CANDIDATES,
 ) -> DataFrame:
-    """At most ``points`` points per series that keep the shape of the curve.
-
-    Series longer than ``points * ratio`` are first reduced to the lowest and
-    highest point of equal index buckets (plus the end points), a plain grouped
-    aggregate; the triangle rule then sees a bounded series. Shorter series go
-    straight to the triangle rule.
+    """At most ``points`` (3 or more) points per series, by the largest-triangle-three-buckets rule.
+
+    One rule for every length. For a fixed earlier point and mean of the next bucket the area is the
+    size of a linear function, so its largest value in a bucket lies on the bucket's convex hull: only
+    hull corners are carried to the choice, which alone goes from bucket to bucket. Corners are found
+    batch by batch where the rows lie, then per bucket. Should a series still have more than
+    ``most_candidates`` (a smooth curve is all corners), they are narrowed until it has not. Ties go to
+    the earlier point. Null and non-finite values take no part; shorter series stay whole.
     """
-    source = metrics.where(F.col("value").isNotNull()).select(*SERIES, *series_order(metrics))
-    ordered = ordered_series(source, profile, hot_rows).index()
-    df = ordered.result().select(*SERIES, "step", "value", "idx", "n")
-    buckets = points * ratio // 2
-    bucket = F.when(F.col("n") <= points * ratio, F.col("idx")).otherwise(
-        F.when(F.col("idx") == 0, -1)
-        .when(F.col("idx") == F.col("n") - 1, buckets)
-        .otherwise(F.floor(F.col("idx") * buckets / F.col("n")))
-    )
-    point = F.struct("idx", "step", "value")
-    extremes = (
-        df.groupBy(*SERIES, bucket.cast("long").alias("_b"))
-        .agg(
-            F.min_by(point, F.struct("value", "idx")).alias("_lo"),
-            F.max_by(point, F.struct("value", "idx")).alias("_hi"),
-        )
-        .select(*SERIES, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_p"))
-        .select(*SERIES, "_p.*")
+    if points < 3:
+        raise ValueError("a thinned curve has 3 points or more")
+    finite = F.abs("value") < float("inf")
+    source = metrics.where(finite).select(*SERIES, *series_order(metrics))
+    df = ordered_series(source, profile, hot_rows).index().result().select(*SERIES, "step", "value", "idx", "n")
+    whole = df.where(F.col("n") <= points).select(*SERIES, "step", "value")
+
+    # Bucket 0 is the first point, the last bucket the last point; between them ``inner`` of equal length.
+    inner = points - 2
+    place = F.expr(f"(idx * {inner} - 1) div (n - 2)") + 1
+    bucket = F.when(F.col("idx") == 0, 0).when(F.col("idx") == F.col("n") - 1, points - 1).otherwise(place)
+    long = df.where(F.col("n") > points).select(*SERIES, bucket.cast("long").alias("bucket"), "idx", "step", "value")
+    ensure_checkpoint_dir(metrics.sparkSession)
+    centres = long.groupBy(*SERIES, (F.col("bucket") - 1).alias("bucket")).agg(
+        F.avg("step").alias("cx"), F.avg("value").alias("cy")
     )
-
-    def thin(frames: pd.DataFrame) -> pd.DataFrame:
-        return _triangles(frames.sort_values("idx"), points)[["run_id", "name", "step", "value"]]
-
-    return extremes.groupBy(*SERIES).applyInPandas(
-        thin, "run_id string, name string, step long, value double"
+    corners = (
+        long.mapInPandas(lambda batches: map(_corners, batches), _POINT)
+        .groupBy(*SERIES, "bucket")
+        .applyInPandas(_corners, _POINT)
+        .join(centres, [*SERIES, "bucket"], "left")
+        .checkpoint()
     )
+    for _ in range(points):
+        most = corners.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+        if most <= max(most_candidates, points):
+            break
+        corners = _narrow(corners).checkpoint()
+    thin = corners.groupBy(*SERIES).applyInPandas(_walk, "run_id string, name string, step long, value double")
+    return whole.unionByName(thin)

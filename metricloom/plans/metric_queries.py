@@ -269,9 +269,31 @@ def comparison_insight(spark, folder):
     )
 
 
-@query()
+CHART_POINTS = 10
+
+
+@query(
+    with_tables(
+        "metrics",
+        body=f"""+ p AS (SELECT run_id, name, step, value, row_number() OVER w - 1 AS idx,
+            count(*) OVER (PARTITION BY run_id, name) AS n FROM metrics WHERE isfinite(value)
+            WINDOW w AS (PARTITION BY run_id, name ORDER BY step, ts, value)),
+        b AS (SELECT *, CASE WHEN idx = 0 THEN 0 WHEN idx = n - 1 THEN {CHART_POINTS - 1}
+            ELSE (idx * {CHART_POINTS - 2} - 1) // (n - 2) + 1 END AS bucket FROM p WHERE n > {CHART_POINTS}),
+        c AS (SELECT run_id, name, bucket - 1 AS bucket, avg(step) AS cx, avg(value) AS cy FROM b GROUP BY ALL),
+        q AS (SELECT b.*, cx, cy FROM b LEFT JOIN c USING (run_id, name, bucket)),
+        walk AS (SELECT run_id, name, bucket, {{'x': step, 'y': value}} AS pt FROM q WHERE bucket = 0
+            UNION ALL
+            SELECT q.run_id, q.name, q.bucket, first({{'x': q.step, 'y': q.value}} ORDER BY
+                abs((w.pt.x - cx) * (q.value - w.pt.y) - (w.pt.x - q.step) * (cy - w.pt.y)) DESC, q.idx)
+            FROM walk w JOIN q ON q.run_id = w.run_id AND q.name = w.name AND q.bucket = w.bucket + 1
+            GROUP BY q.run_id, q.name, q.bucket)
+        SELECT run_id, name, step, value FROM p WHERE n <= {CHART_POINTS}
+        UNION ALL SELECT run_id, name, pt.x, pt.y FROM walk""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def lttb_downsample(spark, folder):
-    return M.downsample(tables.metrics(spark, folder), points=50, ratio=4)
+    return M.downsample(tables.metrics(spark, folder), CHART_POINTS)
 
 
 @query(

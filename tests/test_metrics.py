@@ -147,19 +147,54 @@ def lttb(x, y, target):
 
 def test_downsample_matches_plain_loop(series):
     v = np.cumsum(np.random.default_rng(2).normal(size=150))
-    got = sorted(r["step"] for r in M.downsample(series({"x": v}), 20, ratio=10).collect())
+    got = sorted(r["step"] for r in M.downsample(series({"x": v}), 20).collect())
     assert got == lttb(np.arange(150.0), v, 20)
 
 
 def test_downsample_of_long_series(series):
     v = np.zeros(5000)
     v[1234], v[4321] = 100.0, -100.0
-    got = M.downsample(series({"x": v, "short": [1, 2]}), 20, ratio=4)
+    got = M.downsample(series({"x": v, "short": [1, 2]}), 20)
     steps = {r["step"] for r in got.where("name = 'x'").collect()}
     assert len(steps) == 20 and {0, 1234, 4321, 4999} <= steps
     assert got.where("name = 'short'").count() == 2
 
 
+@pytest.mark.parametrize("shape", ["walk", "convex", "steps", "ties"])
+def test_downsample_of_any_length_is_the_plain_rule(spark, series, shape):
+    """Several Arrow batches per bucket, curves that are all corners, plateaus, repeated steps."""
+    n, rng = 3 + 18 * 500, np.random.default_rng(5)
+    v = {
+        "walk": rng.integers(-50, 50, n).cumsum().astype(float),
+        "convex": (np.arange(n, dtype=float) - 2000) ** 2,
+        "steps": np.repeat(rng.integers(0, 9, n // 100 + 1), 100)[:n].astype(float),
+        "ties": rng.integers(0, 3, n).astype(float),
+    }[shape]
+    m = series({"x": v})
+    inner, left = (n - 2), 18
+    edges = [1 + j * inner // left for j in range(left + 1)] + [n]
+    keep = [0]
+    for j in range(left):
+        cx, cy = np.arange(edges[j + 1], edges[j + 2]).mean(), v[edges[j + 1] : edges[j + 2]].mean()
+        at = np.arange(edges[j], edges[j + 1])
+        a = keep[-1]
+        keep.append(int(at[np.abs((a - cx) * (v[at] - v[a]) - (a - at) * (cy - v[a])).argmax()]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        for limit in (M.CANDIDATES, 1) if shape in ("convex", "ties") else (M.CANDIDATES,):  # without and with narrowing
+            got = sorted(r["step"] for r in M.downsample(m, 20, most_candidates=limit).collect())
+            assert got == [*keep, n - 1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_downsample_of_repeated_steps_and_odd_values(series):
+    steps = [0, 1, 1, 1, 2, 2, 3, 4, 5, 5, 6]
+    values = [0, 5, -9, 5, 1, None, 2, float("nan"), 3, float("inf"), 0]
+    got = rows_of(M.downsample(series({"x": values, "none": [None] * 9}, steps={"x": steps, "none": range(9)}), 3).select("step", "value"))
+    assert got == [(0, 0.0), (1, -9.0), (6, 0.0)]
+
+
 def test_leaderboard_loses_no_run(spark):
     inf = float("inf")
     rows = [("a", 1.0), ("b", None), ("c", inf), ("d", float("nan")), ("e", -inf), ("f", None), ("g", 1.0)]

@@ -109,7 +109,7 @@ def test_operators_agree_when_split(spark, small):
         (lambda h: D.detect_anomalies(more, hot_rows=h).select(*key, F.round("confidence", 6))),
         (lambda h: P.detect_patterns(more, hot_rows=h).select(*KEYS, "pattern_type", "start_step", "end_step")),
         (lambda h: I.spike_regularity(D.outliers(more, hot_rows=h), hot_rows=h).select("run_id", "spikes", F.round("std_interval", 6))),
-        (lambda h: M.downsample(more, 10, 4, hot_rows=h)),
+        (lambda h: M.downsample(more, 10, hot_rows=h)),
     ]
     for build in pairs:
         assert rows_of(build(20)) == rows_of(build(10**9))
