@@ -248,9 +248,12 @@ def block_lines_of(data: bytes) -> tuple[list[str], list[list]]:
     return keys, places
 
 
-def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
+def lookup(archive: Archive, keys: DataFrame, must_exist: bool = False) -> DataFrame:
     """(key, file, offset, length) of the captures under the given ``key``s.
 
+    A key without captures gives no row, or stops the job with ``must_exist``; a damaged directory file
+    or block always stops it.
+
     Keys are range-partitioned and sorted, so a batch of them falls in few neighbouring blocks; it reads
     that slice of the stored directory (Parquet statistics skip the rest), never the whole of it.
     """
@@ -264,7 +267,7 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
 
         fs, at = open_folder(folder)
         dir_fs, dir_at = open_folder(root)
-        table = ds.dataset(dir_at, filesystem=dir_fs, format="parquet", exclude_invalid_files=True)
+        table = ds.dataset(dir_at, filesystem=dir_fs, format="parquet")
         opened: dict[str, object] = {}
         cached: tuple = (None, [], [])
         for rows in batches:
@@ -273,6 +276,7 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
             entries = list(zip(*(near[c].to_pylist() for c in ("first_key", "last_key", "file", "offset", "length"))))
             directory, out = BlockDirectory(entries), []
             for key in wanted:
+                before = len(out)
                 for entry in directory.blocks_for(key):
                     if cached[0] != entry:
                         name, offset, length = entry[2:]
@@ -283,6 +287,8 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
                     while i < len(cached[1]) and cached[1][i] == key:
                         out.append((key, *cached[2][i]))
                         i += 1
+                if must_exist and len(out) == before:
+                    raise KeyError(f"no capture of {key}")
             yield pd.DataFrame(out, columns=["key", "file", "offset", "length"])
         for f in opened.values():
             f.close()
@@ -351,7 +357,7 @@ def archive_round_trip(pages: DataFrame, **columns: str) -> DataFrame:
         return pd.Series([capture_key(u, None if i == "" else i) for u, i in zip(urls, ids)], dtype=object)
 
     named = key(quoted(url), F.coalesce(quoted(page_id).cast("long").cast("string"), F.lit("")))
-    places = stored(lookup(archive, pages.select(named.alias("key")).distinct()), "places")
+    places = stored(lookup(archive, pages.select(named.alias("key")).distinct(), must_exist=True), "places")
     return read_records(archive.folder, places, PAGE_FIELDS, page_row)
 
 

@@ -162,3 +162,19 @@ def test_index_lookup_and_records(spark, pages):
     with fs.open_input_file(f"{root}/{place['file']}") as f:
         headers, payload = warc.parse_record(warc._unzip(f.read_at(place["length"], place["offset"])))
     assert headers["WARC-Type"] == "revisit" and headers["WARC-Refers-To"] == warc.record_id(7, headers["WARC-Payload-Digest"][7:]) and payload == b""
+
+
+def test_damaged_directory_and_lost_keys_stop_the_read(spark, pages):
+    archive = warc.write_archives(pages)
+    keys = archive.captures.select("key").distinct()
+    lost = keys.unionByName(spark.createDataFrame([("zz,no)/ 1",)], "key string"))
+    assert warc.lookup(archive, keys, must_exist=True).count() == len(PAGES)
+    with pytest.raises(Exception, match="no capture of zz,no"):
+        warc.lookup(archive, lost, must_exist=True).collect()
+    places = warc.lookup(archive, keys)
+    for at in archive.directory.inputFiles():
+        fs, path = open_folder(at)
+        with fs.open_output_stream(path) as f:
+            f.write(b"PAR1 cut off")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        places.collect()
