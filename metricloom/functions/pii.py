@@ -20,6 +20,9 @@ PATTERNS = {
 }
 CONFIDENCE = 0.9
 
+#: Location of hits in a document that could not be read as JSON.
+UNREADABLE = "(unreadable)"
+
 
 _HIT = "array<struct<pii_type:string,value:string>>"
 
@@ -108,13 +111,16 @@ def _strings(node: dict, path: str) -> Iterator[dict]:
 def json_strings(documents: pd.Series) -> pd.Series:
     """Every string inside JSON objects with its path, such as ``a.b[2].c``.
 
-    The nesting depth is open, which built-in functions cannot follow.
+    The nesting depth is open, which built-in functions cannot follow. A document that is no JSON object,
+    or nested deeper than a parser goes, is one string at :data:`UNREADABLE`, so that its text is still scanned.
     """
     def leaves(document: str | None) -> list[dict]:
         try:
             parsed = json.loads(document) if document else {}
-        except ValueError:
-            return []
-        return list(_strings(parsed, "")) if isinstance(parsed, dict) else []
+            if isinstance(parsed, dict):
+                return list(_strings(parsed, ""))
+        except (ValueError, RecursionError):
+            pass
+        return [{"path": UNREADABLE, "text": document}]
 
     return documents.map(leaves)

@@ -86,6 +86,16 @@ RULES = {
     ),
 }
 
+#: Ours: what cannot be read cannot be called compliant.
+UNREADABLE_RULE = "CONFIG-READ-001"
+RULES[UNREADABLE_RULE] = (
+    "all",
+    "high",
+    pii.UNREADABLE,
+    "Configuration is not a JSON object and could not be checked",
+    "Store the configuration as a JSON object",
+)
+
 
 # -- personal data -----------------------------------------------------------
 
@@ -129,11 +139,18 @@ def _violation(rule: str, detail: Column | None = None, location: Column | None
 
 
 def check_contents(configs: DataFrame, standards: Sequence[str]) -> DataFrame:
-    """Personal data in configurations and, under HIPAA, tell-tale top-level keys."""
+    """Personal data in configurations and, under HIPAA, tell-tale top-level keys.
+
+    A configuration that is not empty and no JSON object is a finding of its own: its keys and settings are
+    unknown, and its text is scanned as a whole.
+    """
     hits = scan_json(configs, ["id"], "config")
     out = hits.select(
         "id", _violation("GDPR-PII-001", F.col("pii_type"), F.col("location")).alias("_v")
     )
+    text = F.col("config")
+    unread = configs.where((text != "") & F.json_object_keys("config").isNull())
+    out = out.unionByName(unread.select("id", _violation(UNREADABLE_RULE).alias("_v")))
     if "hipaa" in standards:
         keys = configs.select("id", F.explode(F.json_object_keys("config")).alias("key"))
         phi = keys.where(X.contains_any(F.lower("key"), PHI_KEYWORDS))

@@ -758,14 +758,15 @@ def run_report(
     run_tags: DataFrame,
     metrics: DataFrame,
     insights: DataFrame,
-    first: int | None = 10,
+    first: int | None = None,
     profile: GroupProfile | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Markdown reports of all runs as lines: (run_id, section, item, line).
 
     Sorting by (run_id, section, item) and joining the lines gives the text. As
-    rows, a report of any length is written without gathering it in one value.
+    rows, a report of any length is written without gathering it in one value. All metrics are
+    reported unless ``first`` limits them to the first names of each run.
     """
     tags = run_tags.groupBy(F.col("run_id").alias("id")).agg(
         F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("_tags")

@@ -457,6 +457,11 @@ def analysis_stats(spark, folder):
         UNION ALL SELECT id, 0, 'status', '**Status:** ' || status FROM runs
         UNION ALL SELECT id, 0, 'duration', '**Duration:** 86400s' FROM runs WHERE duration_seconds > 0
         UNION ALL SELECT id, 0, 'tags', '**Tags:** ' || tags FROM runs JOIN t ON t.run_id = runs.id
+        UNION ALL SELECT id, 0, 'fixed', unnest(['', '**ID:** ' || id, '**Project:** ' || project,
+            '**Created:** ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S'),
+            chr(10) || '## Configuration' || chr(10) || chr(10) || '```json',
+            '{{"custkey":' || custkey || ',"totalprice":' || totalprice || ',"priority":"' || priority || '"}}',
+            '```' || chr(10), '## Metrics Summary' || chr(10)]) FROM runs
         UNION ALL SELECT run_id, 1, name, '### ' || name || chr(10) || '- Count: ' || n || chr(10)
             || '- Min: ' || printf('%.4f', lo) || chr(10) || '- Max: ' || printf('%.4f', hi) || chr(10)
             || '- Mean: ' || printf('%.4f', mean) || chr(10) || '- Std: ' || printf('%.4f', std) || chr(10) FROM s
@@ -473,8 +478,7 @@ def run_report(spark, folder):
         tables.metrics(spark, folder),
         tables.insights(spark, folder),
     )
-    shown = F.col("line").rlike(r"^(# |\*\*(Status|Duration|Tags))")
-    return lines.where((F.col("section") > 0) | shown).select("run_id", "section", "line")
+    return lines.select("run_id", "section", "line")
 
 
 @query(

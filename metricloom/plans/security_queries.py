@@ -123,20 +123,28 @@ def compliance_status(spark, folder):
     return C.compliance_status(configs, C.check_configs(configs))
 
 
+_REMEDIES = " ".join(f"WHEN '{rule}' THEN '{texts[4]}'" for rule, texts in C.RULES.items())
+
+
 @query(
     f"""WITH {_VIOLATIONS}, s AS (SELECT id, severity, count(*) AS c FROM vio GROUP BY ALL)
     SELECT id, list_position(['critical', 'high', 'medium', 'low'], severity)::BIGINT AS section,
         '### ' || upper(severity) || ' (' || c || ')' AS title FROM s
     UNION ALL SELECT id, list_position(['critical', 'high', 'medium', 'low'], severity)::BIGINT,
-        '- **' || rule_id || '**: ' || description FROM vio"""
+        '- **' || rule_id || '**: ' || description || chr(10) || '  - Location: `' || location || '`' || chr(10)
+        || '  - Remediation: ' || CASE rule_id {_REMEDIES} END FROM vio
+    UNION ALL SELECT cfg.id, 0, '# Compliance Report' || chr(10) || chr(10) || 'Standards Checked: {", ".join(C.STANDARDS)}'
+        || chr(10) || chr(10) || CASE WHEN count(rule_id) = 0
+            THEN '## Status: COMPLIANT' || chr(10) || 'No violations detected.'
+            ELSE '## Status: ' || count(rule_id) || ' VIOLATIONS FOUND' || chr(10) END
+        FROM cfg LEFT JOIN vio ON cfg.id = vio.id GROUP BY cfg.id"""
 )
 def compliance_report(spark, folder):
     ensure_checkpoint_dir(spark)
     configs = _configs(spark, folder)
     # The report reads the violations three times; the scan behind them runs once.
     lines = C.report_lines(configs, C.check_configs(configs).checkpoint())
-    first = F.element_at(F.split("line", "\n"), 1)
-    return lines.where("section > 0").select("id", "section", first.alias("title"))
+    return lines.select("id", "section", F.col("line").alias("title"))
 
 
 # -- audit -------------------------------------------------------------------

@@ -216,3 +216,20 @@ def test_keys_stay_out_of_plans(spark):
     df = spark.createDataFrame([("a", "k1")], "text string, key_id string")
     plan = crypto.encrypt_columns(df, ["text"], keys)._jdf.queryExecution().toString()
     assert key.decode() not in plan and key.hex() not in plan
+
+
+def test_unreadable_configurations_are_findings(spark):
+    deep = '{"a":' * 3000 + '"x@y.example.org"' + "}" * 3000
+    rows = [
+        ("cut", '{"mail": "jo@example.org"'), ("list", '["10.0.0.1"]'), ("text", "oops"), ("deep", deep),
+        ("empty", ""), ("null", None), ("good", '{"mail": "jo@example.org"}'), ("none", "{}"),
+    ]
+    configs = spark.createDataFrame(rows, "id string, config string")
+    got = rows_of(C.check_contents(configs, ["gdpr"]).select("id", "rule_id", "location"))
+    unread = [r for r in got if r[1] == C.UNREADABLE_RULE]
+    assert {r[0] for r in unread} >= {"cut", "list", "text"} and not {r[0] for r in unread} & {"empty", "null", "good", "none"}
+    hits = {(r[0], r[2]) for r in got if r[1] == "GDPR-PII-001"}
+    assert {("cut", pii.UNREADABLE), ("list", pii.UNREADABLE), ("good", "mail")} <= hits
+    assert [p for i, p in hits if i == "deep"]  # found, whether or not the parser goes so deep
+    status = {r["id"]: r["compliant"] for r in C.compliance_status(configs, C.check_configs(configs, ["gdpr"])).collect()}
+    assert not status["text"] and not status["cut"] and status["none"]
