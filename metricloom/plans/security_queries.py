@@ -10,7 +10,8 @@ from metricloom.operators import audit as U
 from metricloom.operators import compliance as C
 from metricloom.operators import seals as S
 from metricloom.plans.common import Registry, tables, with_tables
-from metricloom.session import ensure_checkpoint_dir
+from metricloom.session import ensure_checkpoint_dir, new_work_folder
+from metricloom.sources import audit_log, line_source
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -368,6 +369,51 @@ def audit_segment_members(spark, folder):
     return S.verify_members(claims.unionByName(unknown), S.seal_nodes(leaves), S.roots(leaves))
 
 
+LOG_LINES = 1000
+
+
+@query(
+    with_tables(
+        "audit",
+        body=f"""+ x AS (SELECT *, line_no // {LOG_LINES} AS segment,
+            row_number() OVER (PARTITION BY log, line_no // {LOG_LINES} ORDER BY line_no) AS k FROM audit)
+        SELECT log, segment, k AS file_line, CASE WHEN value > 250 THEN -1 ELSE line_no END AS line_no,
+            CASE WHEN value > 250 THEN 'malformed JSON in line ' || k ELSE '' END AS parse_error,
+            CASE WHEN value > 250 THEN '' ELSE action END AS action FROM x""",
+    )
+)
+def audit_log_lines(spark, folder):
+    """The log written as line files, the largest events cut in the middle, and every line read back."""
+    sizes = tables.table(spark, folder, "events").select(
+        F.col("event_id").alias("line_no"), F.col("value").alias("_size")
+    )
+    events = tables.audit_events(spark, folder).join(sizes, "line_no")
+    fields = [c for c in events.columns if c not in ("log", "_size")]
+    text = F.to_json(F.struct(*fields))
+    cut = F.when(F.col("_size") > 250, F.left(text, F.lit(20))).otherwise(text)
+    lines = events.select(
+        cut.alias("value"), "log", F.floor(F.col("line_no") / LOG_LINES).alias("segment"), "line_no"
+    )
+    path = new_work_folder(spark, "audit-lines")
+    (
+        lines.repartition("log", "segment")
+        .sortWithinPartitions("log", "segment", "line_no")
+        .drop("line_no")
+        .write.partitionBy("log", "segment")
+        .option("compression", "gzip")
+        .text(path)
+    )
+    parsed = audit_log.parse_lines(line_source.read_numbered(spark, path))
+    return parsed.select(
+        "log",
+        "segment",
+        "file_line",
+        F.coalesce(F.when(F.col("parse_error").isNull(), F.col("line_no")), F.lit(-1)).alias("line_no"),
+        F.coalesce("parse_error", F.lit("")).alias("parse_error"),
+        F.when(F.col("parse_error").isNull(), F.col("action")).otherwise("").alias("action"),
+    )
+
+
 # -- encryption --------------------------------------------------------------
 
 

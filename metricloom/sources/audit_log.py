@@ -30,7 +30,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Stored fields plus ``parse_error`` (null for good lines)."""
+    """Stored fields plus ``parse_error`` (null for good lines).
+
+    Lines of :func:`metricloom.sources.line_source.read_numbered` keep their file, number and offset, and
+    the error of a broken one names its line.
+    """
     fields = AUDIT.simpleString()[len("struct<") : -1]
     schema = f"line_no bigint, {fields.replace(':', ' ')}, _bad string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
@@ -40,11 +44,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
     keep = [c for c in lines.columns if c not in ("value", "line_no")]
     line_no = F.coalesce(F.col("_e.line_no"), F.col("line_no")) if "line_no" in lines.columns else F.col("_e.line_no")
+    problem = F.lit("malformed JSON")
+    if "file_line" in lines.columns:
+        problem = F.concat(problem, F.lit(" in line "), F.col("file_line"))
     return parsed.select(
         *keep,
         line_no.alias("line_no"),
         *[F.col(f"_e.{c}").alias(c) for c in _FIELDS],
-        F.when(F.col("_e._bad").isNotNull(), "malformed JSON").alias("parse_error"),
+        F.when(F.col("_e._bad").isNotNull(), problem).alias("parse_error"),
     )
 
 
