@@ -439,7 +439,7 @@ def stream_insight_cap(spark, folder):
 
     def replay():
         for late in (0, 1):
-            events.where(F.col("event_id") % 2 == late).coalesce(1).write.mode("append").parquet(f"{work}/in")
+            events.where(F.col("event_id") % 2 == late).write.mode("append").parquet(f"{work}/in")
             stream = spark.readStream.schema(events.schema).parquet(f"{work}/in")
             kind = F.when(F.col("event_id") % 7 == 0, "critical").when(F.col("event_id") % 7 < 3, "warning").otherwise("info")
             insights = stream.select(tables.run_of_user().alias("run_id"), F.col("event_id").alias("id"), kind.alias("severity"))

@@ -156,34 +156,49 @@ def run_until(query: StreamingQuery, done: Callable[[], bool], seconds: float =
 
 
 class _Outlet(StatefulProcessor):
-    """Lets insights of a run through up to a cap, and holds the rest until the run has finished."""
+    """Lets insights of a run through up to a cap, and holds the rest until the run has finished.
+
+    What is held lies in numbered chunks, each a value of its own, so neither a call a row nor the whole of a run at once is needed.
+    """
 
     def __init__(self, cap: int, schema: str):
         self._cap, self._schema = cap, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._passed = handle.getValueState("passed", "number long")
-        self._held = handle.getListState("held", self._schema)
+        self._counts = handle.getValueState("counts", "passed long, chunks long")
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in self._schema.split(", ")))
+        self._held = handle.getMapState("held", "chunk long", arrays)
+
+    def _hold(self, rows: pd.DataFrame, chunks: int) -> int:
+        """Put rows into further chunks; the new number of chunks."""
+        rows = rows.astype(object).where(rows.notna(), None)
+        for lo in range(0, len(rows), HELD_ROWS):
+            part = rows.iloc[lo : lo + HELD_ROWS]
+            self._held.updateValue((chunks,), tuple(part[c].tolist() for c in part.columns))
+            chunks += 1
+        return chunks
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = self._passed.get()[0] if self._passed.exists() else 0
-        finished = False
-        for part in rows:  # one Arrow batch at a time
+        passed, chunks = self._counts.get() if self._counts.exists() else (0, 0)
+        room, finished, first = max(0, self._cap - passed), False, None
+        for part in rows:  # one Arrow batch at a time; the gravest of all of them are kept apart
             finished = finished or bool(part["finished"].any())
-            part = part[~part["finished"]].drop(columns="finished").sort_values(["rank", "id"])
-            room = max(0, self._cap - passed)
-            if room and len(part):
-                passed += min(room, len(part))
-                yield part.iloc[:room]
-            for row in part.iloc[room:].itertuples(index=False, name=None):
-                self._held.appendValue(row)
+            part = part[~part["finished"].astype(bool)].drop(columns="finished")
+            if room:
+                part = (part if first is None else pd.concat([first, part])).sort_values(["rank", "id"])
+                first, part = part.iloc[:room], part.iloc[room:]
+            chunks = self._hold(part, chunks)
+        if first is not None and len(first):
+            passed += len(first)
+            yield first
         if finished:
-            held = list(self._held.get()) if self._held.exists() else []
-            passed += len(held)
-            for lo in range(0, len(held), HELD_ROWS):
-                yield pd.DataFrame(held[lo : lo + HELD_ROWS], columns=[c.split()[0] for c in self._schema.split(", ")])
-            self._held.clear()
-        self._passed.update((passed,))
+            for chunk in range(chunks):
+                held = pd.DataFrame(dict(zip((c.split()[0] for c in self._schema.split(", ")), self._held.getValue((chunk,)))))
+                self._held.removeKey((chunk,))
+                passed += len(held)
+                yield held
+            chunks = 0
+        self._counts.update((passed, chunks))
 
     def close(self) -> None:
         pass

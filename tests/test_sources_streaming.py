@@ -346,3 +346,28 @@ def test_no_message_vanishes(spark):
     aside = {r["raw"]: r["reason"] for r in M.quarantine(M.decode(df)).collect()}
     assert aside == {**{t: r for t, r in texts.items() if r}, None: "not JSON"}
     assert M.message_accounts(M.decode(df)).groupBy().sum("messages").first()[0] == len(texts) + 1
+
+
+def test_capped_insights_over_many_arrow_batches(spark, tmp_path):
+    """The gravest of a micro-batch go first and none is lost, however many Arrow batches and chunks its rows fill."""
+    rows = [(run, f"{i:04d}", "critical" if i >= 198 else "info", i == 0 and run == "b") for run in ("a", "b") for i in range(200)]
+    shape = "run_id string, id string, severity string, ends boolean"
+
+    def turn(rows):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/in")
+        out = analysis.capped_insights(stream, stream.where("ends").select("run_id"), 4)
+        state.start_append(out, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        return rows_of(spark.read.parquet(f"{tmp_path}/out").select("run_id", "id", "severity", "rank"))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        whole = lambda run: [(run, i, s, 0 if s == "critical" else 2) for r, i, s, _ in rows if r == run]
+        first = [(r, i, s, k) for r, i, s, k in whole("a") if i in ("0000", "0001", "0198", "0199")]
+        assert turn(rows) == first + whole("b")
+        assert turn([("a", "x", "critical", False)]) == first + whole("b")
+        assert turn([("a", "y", "info", True)]) == sorted([*whole("a"), ("a", "x", "critical", 0), ("a", "y", "info", 2), *whole("b")])
+    finally:
+        spark.conf.set(key, before)
