@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,9 +89,8 @@ def preview(kind: Column, value: Column) -> Column:
     )
 
 
-_STRINGS = T.ArrayType(
-    T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
-)
+#: Characters and rows of a piece of strings on its way out of a Python worker.
+PIECE_CHARS, PIECE_ROWS = 4_000_000, 10_000
 
 
 def _strings(node: dict, path: str) -> Iterator[dict]:
@@ -107,20 +106,50 @@ def _strings(node: dict, path: str) -> Iterator[dict]:
                 yield from _strings(item, place)
 
 
-@F.pandas_udf(_STRINGS)
-def json_strings(documents: pd.Series) -> pd.Series:
-    """Every string inside JSON objects with its path, such as ``a.b[2].c``.
+def _leaves(document: str | None) -> list[dict]:
+    """The strings of one document."""
+    try:
+        parsed = json.loads(document) if document else {}
+        if isinstance(parsed, dict):
+            return list(_strings(parsed, ""))
+    except (ValueError, RecursionError):
+        pass
+    return [{"path": UNREADABLE, "text": document}]
+
+
+def string_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Id columns, path and text of every string of the documents in the last column, in pieces of bounded size.
+
+    One document is parsed at a time, so beside an Arrow batch only a piece and a document are in memory.
+    """
+    for batch in batches:
+        *ids, documents = batch.columns
+        names = [*batch.schema.names[:-1], "location", "text"]
+        rows, paths, texts, chars = [], [], [], 0
+
+        def piece() -> pa.RecordBatch:
+            own = [c.take(pa.array(rows, pa.int64())) for c in ids]
+            return pa.RecordBatch.from_arrays([*own, pa.array(paths, documents.type), pa.array(texts, documents.type)], names)
+
+        for row, document in enumerate(documents):
+            for leaf in _leaves(document.as_py()):
+                rows.append(row)
+                paths.append(leaf["path"])
+                texts.append(leaf["text"])
+                chars += len(leaf["path"]) + len(leaf["text"] or "")
+                if chars >= PIECE_CHARS or len(rows) >= PIECE_ROWS:
+                    yield piece()
+                    rows, paths, texts, chars = [], [], [], 0
+        if rows:
+            yield piece()
+
+
+def json_strings(df: DataFrame, ids: Sequence[str], document: str) -> DataFrame:
+    """Every string inside JSON objects with its path, such as ``a.b[2].c``: rows of ids, location and text.
 
     The nesting depth is open, which built-in functions cannot follow. A document that is no JSON object,
     or nested deeper than a parser goes, is one string at :data:`UNREADABLE`, so that its text is still scanned.
     """
-    def leaves(document: str | None) -> list[dict]:
-        try:
-            parsed = json.loads(document) if document else {}
-            if isinstance(parsed, dict):
-                return list(_strings(parsed, ""))
-        except (ValueError, RecursionError):
-            pass
-        return [{"path": UNREADABLE, "text": document}]
-
-    return documents.map(leaves)
+    chosen = df.select(*ids, document)
+    found = [T.StructField("location", T.StringType()), T.StructField("text", T.StringType())]
+    return chosen.mapInArrow(string_pieces, T.StructType([*chosen.schema.fields[:-1], *found]))

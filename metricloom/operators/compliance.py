@@ -114,9 +114,7 @@ def scan_text(df: DataFrame, ids: Sequence[str], text: str = "text") -> DataFram
 def scan_json(df: DataFrame, ids: Sequence[str], document: str = "config") -> DataFrame:
     """Hits in every string of a JSON document, with its path as location."""
     candidates = df.where(pii.may_hit(F.col(document)))  # the rest need no parsing
-    leaves = candidates.select(*ids, F.explode(pii.json_strings(F.col(document))).alias("_s"))
-    leaves = leaves.select(*ids, F.col("_s.path").alias("location"), F.col("_s.text").alias("text"))
-    return scan_text(leaves, [*ids, "location"])
+    return scan_text(pii.json_strings(candidates, ids, document), [*ids, "location"])
 
 
 def scan_counts(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
