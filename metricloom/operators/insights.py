@@ -749,6 +749,8 @@ def dashboard_points(
 
 # -- reports -----------------------------------------------------------------
 
+#: Ids and tags of runs that one task sorts, about.
+TAG_ROWS = 500_000
 # Marks in front of insight titles.
 MARKS = {"critical": "🔴", "warning": "🟡", "info": "🔵"}
 
@@ -761,6 +763,7 @@ def run_report(
     first: int | None = None,
     profile: GroupProfile | None = None,
     hot_rows: int = HOT_ROWS,
+    task_rows: int = TAG_ROWS,
 ) -> DataFrame:
     """Markdown reports of all runs as lines: (run_id, section, item, line).
 
@@ -768,11 +771,17 @@ def run_report(
     rows, a report of any length is written without gathering it in one value. All metrics are
     reported unless ``first`` limits them to the first names of each run.
     """
-    tags = run_tags.groupBy(F.col("run_id").alias("id")).agg(
+    known = runs.select(F.col("id").alias("run_id")).where(F.col("run_id").isNotNull())
+    ids, marks = known, run_tags.select("run_id", "tag")
+    tasks = -(-(runs.count() + run_tags.count()) // task_rows)
+    if tasks > int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # more tasks, not larger ones
+        ids, marks = ids.repartition(tasks, "run_id"), marks.repartition(tasks, "run_id")
+    tags = marks.groupBy("run_id").agg(
         F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("_tags")
     )
     at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
-    head = runs.join(tags, "id", "left").select(
+    # Lines of a run's own row need no join; that of its tags is a row beside them, joined to the bare ids.
+    head = runs.where(F.col("id").isNotNull()).select(
         F.col("id").alias("run_id"),
         F.posexplode(
             F.array(
@@ -788,7 +797,7 @@ def run_report(
                         F.lit("**Duration:** "), F.round("duration_seconds").cast("long"), F.lit("s")
                     ),
                 ),
-                F.concat(F.lit("**Tags:** "), "_tags"),
+                F.lit(None).cast("string"),  # the place of the tags
                 F.lit("\n## Configuration\n\n```json"),
                 F.coalesce("config", F.lit("{}")),
                 F.lit("```\n"),
@@ -799,6 +808,12 @@ def run_report(
     head = head.where(F.col("line").isNotNull()).select(
         "run_id", F.lit(0).alias("section"), F.format_string("%04d", "item").alias("item"), "line"
     )
+    tagged = tags.join(ids, "run_id").select(
+        "run_id",
+        F.lit(0).alias("section"),
+        F.lit("0007").alias("item"),
+        F.concat(F.lit("**Tags:** "), "_tags").alias("line"),
+    )
 
     shown = metrics
     if first is not None:
@@ -836,5 +851,5 @@ def run_report(
     titles = insights.select("run_id").distinct().select(
         "run_id", F.lit(2).alias("section"), F.lit("").alias("item"), F.lit("## Insights\n").alias("line")
     )
-    lines = head.unionByName(body).unionByName(titles).unionByName(notes)
-    return lines.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    lines = body.unionByName(titles).unionByName(notes).join(known, "run_id", "left_semi")
+    return head.unionByName(tagged).unionByName(lines)

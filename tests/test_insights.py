@@ -143,6 +143,25 @@ def test_report(spark, series):
     assert lines.where("run_id = 'empty' AND section > 0").count() == 0
 
 
+def test_report_head_needs_no_join(spark, series):
+    """Head lines come from a run's own row, also for ids that repeat; only tags, by bare ids, and the rest are joined."""
+    runs = runs_frame(spark, [("r", "one", "running", 1), ("r", "two", "running", 2), (None, "x", "running", 3), ("s", "three", "running", 4)])
+    tags = spark.createDataFrame([("r", "b"), ("r", "a"), ("r", "b"), ("s", None), (None, "n"), ("gone", "g")], "run_id string, tag string")
+    given = runs, tags, series({"loss": [1]}, run_id="s"), insight_rows(spark, [("1", "r", "info", 1)])
+    lines = I.run_report(*given)
+    assert rows_of(I.run_report(*given, task_rows=1)) == rows_of(lines)  # ids and tags in more tasks
+    head = rows_of(lines.where("section = 0 AND item IN ('0000', '0007', '0011')").select("run_id", "item", "line"))
+    metrics = "## Metrics Summary\n"
+    assert head == [
+        ("r", "0000", "# Run Report: one"), ("r", "0000", "# Run Report: two"), ("r", "0007", "**Tags:** a, b"), ("r", "0007", "**Tags:** a, b"),
+        ("r", "0011", metrics), ("r", "0011", metrics), ("s", "0000", "# Run Report: three"), ("s", "0007", "**Tags:** "), ("s", "0011", metrics),
+    ]
+    assert rows_of(lines.where("section > 0").select("run_id", "section")) == [("r", 2), ("r", 3), ("s", 1)]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    before, found, _ = plan.partition("Generate posexplode")
+    assert found and "Join" not in before
+
+
 def test_dashboard(spark, series):
     runs = runs_frame(spark, [("r", "run", "running", 1)])
     metrics = series({f"m{i:02}": [1, 2] for i in range(12)})
