@@ -39,15 +39,20 @@ def _needs(text: Column) -> dict[str, Column]:
     }
 
 
+#: The shortest end of a phone, social security or card number. Inside JSON its separator may be an escape.
+_NUMBER_END = r"[0-9]{2}(?:[-.\s]|\\[fnrt])?[0-9]{4}"
+
+
 def may_hit(text: Column) -> Column:
     """False only for texts (plain or as JSON) without any hit.
 
-    In JSON a character may be written as an escape, so escapes count as well.
+    Numbers and settings of a JSON document are too short to pass, so only documents that hold something like a
+    hit reach a parser. In JSON any character may be written as its code, so such escapes count as well.
     """
     return (
         text.contains("@")
-        | text.rlike("[0-9]{4}")
-        | text.rlike("[0-9][.][0-9]")
+        | text.rlike(_NUMBER_END)
+        | text.rlike("[0-9][.][0-9]{1,3}[.][0-9]")
         | text.contains("\\u")
     )
 
@@ -90,7 +95,7 @@ def preview(kind: Column, value: Column) -> Column:
 
 
 #: Characters and rows of a piece of strings on its way out of a Python worker.
-PIECE_CHARS, PIECE_ROWS = 4_000_000, 10_000
+PIECE_CHARS, PIECE_ROWS = 1_000_000, 10_000
 
 
 def _strings(node: dict, path: str) -> Iterator[dict]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 
 import pyarrow as pa
@@ -258,3 +259,28 @@ def test_configurations_make_no_list_of_strings_a_row(spark):
     for found in (C.check_configs(configs), C.compliance_status(configs, C.check_configs(configs))):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_documents_without_a_hit_need_no_parser(spark):
+    """Numbers of settings are no hits, so such documents never reach a Python worker."""
+    docs = ['{"data_retention_days": 2000, "Patient_age": 12345, "note": "in 2024, v1.25"}', '{"a": "12-3456 or 1234, 5678"}', "{}"]
+    docs += ['{"a": "jo@mail.org"}', '{"a": "12 3456"}', '{"a": "10.0.0.1"}', '{"a": "\\u0034111"}', None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, config string")
+    assert [r["id"] for r in df.where(pii.may_hit(F.col("config"))).orderBy("id").collect()] == [1, 3, 4, 5, 6]
+
+
+def test_every_hit_passes_the_filter(spark):
+    """Whatever the document, what the walk would find without the filter is found with it."""
+    draw = random.Random(7)
+    kinds = ["+1 (555) 123-4567", "5551234567", "123-45-6789", "123456789", "4111 1111 1111 1111", "10.0.0.1", "a@b.org"]
+    marks = ["", "", *" .-\n\t\f\r\b\x0b/", '"', "\\", "\\n", "n", "7", "\u00e9"]
+    rows = []
+    for i in range(1500):
+        value = re.sub("[-. ]", lambda m: m[0] if draw.random() < 0.4 else draw.choice(marks), draw.choice(kinds))
+        text = draw.choice(marks) + value + draw.choice(marks) + draw.choice(kinds)[: draw.randrange(12)]
+        document = json.dumps({"k": [{"n": text}]}, ensure_ascii=draw.random() < 0.5)
+        rows.append((str(i), draw.choice([document, document, document[:-2], text, json.dumps([text])])))
+    df = spark.createDataFrame(rows, "id string, config string")
+    whole = C.scan_text(pii.json_strings(df, ["id"], "config"), ["id", "location"])
+    want = rows_of(whole)
+    assert rows_of(C.scan_json(df, ["id"])) == want and len(want) > 500
